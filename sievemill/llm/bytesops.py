@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes worked on at a time: temporary arrays stay near the caches and memory does not follow the batch.
 BLOCK = 1 << 20
+#: Documents of a block at most, so that a document's place in it takes 14 bits.
+BLOCK_ROWS = 1 << 14
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -60,7 +62,7 @@ def text_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + block, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + BLOCK_ROWS)
         yield lo, hi, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

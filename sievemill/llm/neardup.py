@@ -1,5 +1,405 @@
-"""Near duplicates (draft)."""
+"""Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
+Shingles are runs of five words; a text of fewer words, but not none, is one shingle. A shingle weighs its count in the text
+times its inverse document frequency over all distinct texts. Each text gets 64 consistent weighted samples;
+two texts agree in one with the probability of their weighted Jaccard similarity. Bands of four samples make
+buckets. In each bucket the member that shares most buckets is the hub, and every other member is verified against
+it by weighted Jaccard similarity; members of a bucket that ends up in several classes meet again in finer buckets
+(two bands, then three). Verified links make classes by connected components.
+"""
 
-def near_groups(docs, scratch):
-    raise NotImplementedError
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .bytesops import Words, mix, text_blocks
+from .shared import ROW, SRC, Scratch, identified, split_rows, without_rows
+
+SHINGLE, THRESHOLD = 5, 0.8
+BANDS, ROWS = 16, 4
+#: Documents frequencies below this share of all distinct texts count as this share: a shingle that is in fewer
+#: than one of twenty texts has the full weight, and at most 20 times a text's mean length of shingles lie above.
+RARE = 0.05
+#: Candidates of frequent shingles that one pass counts (8 bytes each are broadcast).
+MAX_COUNTED = 1 << 21
+#: Bands that the finest buckets share.
+LEVELS = 3
+_MASK = np.uint64((1 << 50) - 1)
+_C = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+
+
+def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, shingle of 50 bits, count)``, ordered by document, then shingle."""
+    h, bounds = words.hashes, words.bounds
+    n = np.diff(bounds)
+    doc = words.doc_of()
+    full = np.zeros(len(h), np.uint64)
+    size = len(h) - SHINGLE + 1
+    if size > 0:
+        for j in range(SHINGLE):
+            full[:size] += h[j : j + size] * _C[j]
+    left = np.repeat(bounds[1:], n) - np.arange(len(h))
+    at = left >= SHINGLE
+    value, owner = full[at], doc[at]
+    short = np.flatnonzero((n > 0) & (n < SHINGLE))
+    if len(short):
+        whole = [sum((int(h[bounds[d] + j]) * int(_C[j]) for j in range(n[d])), int(n[d])) & ((1 << 64) - 1) for d in short.tolist()]
+        value, owner = np.concatenate([value, np.array(whole, np.uint64)]), np.concatenate([owner, short])
+    key = (owner.astype(np.uint64) << np.uint64(50)) | (mix(value) & _MASK)
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    return (key[first] >> np.uint64(50)).astype(np.int64), key[first] & _MASK, np.diff(first, append=len(key))
+
+
+class Weights:
+    """Inverse document frequencies, 1 + ln(texts / frequency): the full weight but for frequent shingles."""
+
+    def __init__(self, texts: int, frequent: dict[int, int] | None = None):
+        frequent = frequent or {}
+        self.rare = 1 - np.log(RARE)
+        self.keys = np.array(sorted(frequent), np.uint64)
+        self.idf = np.array([1 + np.log(max(1.0, texts / max(1, frequent[k]))) for k in sorted(frequent)])
+
+    def of(self, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
+        out = count * self.rare
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, shingle), len(self.keys) - 1)
+            hit = self.keys[at] == shingle
+            out[hit] = count[hit] * self.idf[at[hit]]
+        return out
+
+
+def _gamma_table(bits: int = 16) -> np.ndarray:
+    """Quantiles of the Gamma(2, 1) distribution at the middles of 2**bits equal steps, by Newton's method."""
+    u = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    x = np.sqrt(2 * u) + u
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - u) / (x * np.exp(-x) + 1e-300), x / 4)
+    return x
+
+
+class Sampler:
+    """Improved consistent weighted sampling; the variates of a shingle come from its hash through quantile tables."""
+
+    def __init__(self, samples: int = BANDS * ROWS):
+        x = _gamma_table()
+        self.r, self.inverse, self.log_c = x.astype(np.float32), (1 / x).astype(np.float32), np.log(x).astype(np.float32)
+        seeds = mix(np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.odd, self.add = seeds[:samples] | np.uint64(1), seeds[samples:]
+
+    def sample(self, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """``(samples, len(docs))``: for each document of ``docs`` (those that have shingles) a 32-bit name of its sample."""
+        begin = np.searchsorted(doc, docs)
+        log_w = np.log(weight).astype(np.float32)
+        out = np.empty((len(self.odd), len(docs)), np.uint32)
+        low16, low32 = np.uint64(0xFFFF), np.uint64(0xFFFFFFFF)
+        for i, (odd, add) in enumerate(zip(self.odd, self.add, strict=True)):
+            x = shingle * odd + add
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0xC4CEB9FE1A85EC53)
+            name = x ^ (x >> np.uint64(29))
+            ri = (x >> np.uint64(48)).astype(np.int64)
+            ci = ((x >> np.uint64(32)) & low16).astype(np.int64)
+            beta = ((x >> np.uint64(16)) & low16).astype(np.float32)
+            beta *= np.float32(1 / 65536)
+            t = np.floor(log_w * self.inverse[ri] + beta)
+            a = self.log_c[ci] - self.r[ri] * (t - beta + np.float32(1))
+            bits = a.view(np.uint32)
+            order = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
+            name = (name + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1)) & low32
+            out[i] = np.minimum.reduceat((order << np.uint64(32)) | name, begin) & low32
+        return out
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two vectors ``(sorted shingles, weights)``; two empty ones have 0."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    hit = b[0][at] == a[0]
+    least = np.minimum(a[1][hit], b[1][at[hit]]).sum()
+    return float(least / (a[1].sum() + b[1].sum() - least))
+
+
+def _vectors(column, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for lo, hi, buf, offsets in text_blocks(column):
+        d, s, n = shingles(Words(buf, offsets))
+        w = weights.of(s, n)
+        cuts = np.searchsorted(d, np.arange(hi - lo + 1))
+        out += [(s[a:b], w[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
+def _names(batches):
+    """Rows to the 128-bit name of their sequence of words; null without words."""
+    for batch in batches:
+        names = []
+        for lo, hi, buf, offsets in text_blocks(batch.column(batch.num_columns - 1)):
+            w = Words(buf, offsets)
+            # words parted by one blank: all bytes of words and the byte behind each
+            low = np.append(w.low, np.uint8(32))
+            keep = np.zeros(len(low) + 1, np.int8)
+            np.add.at(keep, w.starts, 1)
+            np.add.at(keep, w.ends, -1)
+            inside = np.cumsum(keep[:-1]) > 0
+            spread = np.concatenate([[0], np.cumsum(inside)])
+            raw = low[inside].tobytes()
+            lengths = (w.ends - w.starts).astype(np.uint32)
+            for d in range(hi - lo):
+                a, b = int(w.bounds[d]), int(w.bounds[d + 1])
+                if a == b:
+                    names.append(None)
+                    continue
+                h = xxhash.xxh3_128(raw[int(spread[w.starts[a]]) : int(spread[w.ends[b - 1]])])
+                h.update(lengths[a:b].tobytes())
+                names.append(h.digest())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.binary())], names=[*batch.schema.names[:-1], "node"])
+
+
+def _frequent_here(batches):
+    """Shingles in at least RARE of this task's texts: whatever is as frequent overall is so in some task."""
+    texts = 0
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    pending: list[np.ndarray] = []
+
+    def merge():
+        nonlocal keys, counts, pending
+        if pending:
+            more, n = np.unique(np.concatenate(pending), return_counts=True)
+            both = np.concatenate([keys, more])
+            keys, at = np.unique(both, return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            pending = []
+
+    blocks = 0
+    for batch in batches:
+        for lo, hi, buf, offsets in text_blocks(batch.column(0)):
+            _, s, _ = shingles(Words(buf, offsets))
+            pending.append(s)
+            texts += hi - lo
+            blocks += 1
+            if blocks % 8 == 0:
+                merge()
+                if blocks % 32 == 0:  # a window of about 32 MB of text is a task of its own: memory stays bounded
+                    found = keys[counts >= RARE * texts]
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], names=["s"])
+                    texts, keys, counts = 0, np.empty(0, np.uint64), np.empty(0, np.int64)
+    merge()
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= RARE * texts].astype(np.int64))], names=["s"])
+
+
+def _counter(sent):
+    def run(batches):
+        keys = sent.value
+        total = np.zeros(len(keys), np.int64)
+        for batch in batches:
+            for _, _, buf, offsets in text_blocks(batch.column(0)):
+                _, s, _ = shingles(Words(buf, offsets))
+                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                total += np.bincount(at[keys[at] == s], minlength=len(keys))
+        hit = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys[hit].astype(np.int64)), pa.array(total[hit])], names=["s", "n"])
+
+    return run
+
+
+def learn_weights(texts: DataFrame, n: int, scratch: Scratch) -> Weights:
+    """Exact document frequencies, over all ``texts``, of the shingles in at least RARE of them."""
+    found = scratch.put(texts.mapInArrow(_frequent_here, "s long").distinct(), "candidates")
+    size = found.count()
+    frequent: dict[int, int] = {}
+    blocks = -(-size // MAX_COUNTED)
+    for b in range(blocks):
+        mine = found if blocks == 1 else found.filter(F.pmod(F.xxhash64("s"), F.lit(blocks)) == b)
+        keys = np.sort(np.array([r.s for r in mine.toLocalIterator()], np.uint64))
+        sent = texts.sparkSession.sparkContext.broadcast(keys)
+        counted = texts.mapInArrow(_counter(sent), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+        # at most shingles / (RARE * n) of them: 20 times the mean number of shingles of a text
+        frequent |= {r.s: r.n for r in counted.filter(F.col("n") >= RARE * n).collect()}
+        sent.unpersist()
+    return Weights(n, frequent)
+
+
+def _signer(sent):
+    def run(batches):
+        sampler, weights = Sampler(), sent.value
+        for batch in batches:
+            keep, bands = [], []
+            for lo, hi, buf, offsets in text_blocks(batch.column(batch.num_columns - 1)):
+                d, s, n = shingles(Words(buf, offsets))
+                docs = np.unique(d)
+                if not len(docs):
+                    continue
+                got = sampler.sample(d, s, weights.of(s, n), docs).astype(np.uint64)
+                key = np.zeros((BANDS, len(docs)), np.uint64)
+                for j in range(ROWS):
+                    key = mix(key * _C[0] + got[j::ROWS] + _C[1])
+                bands.append(key.T)
+                keep.append(docs + lo)
+            at = pa.array(np.concatenate(keep) if keep else np.empty(0, np.int64))
+            flat = np.concatenate(bands).ravel().view(np.int64) if bands else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:-1]], lists], names=[*batch.schema.names[:-1], "bands"])
+
+    return run
+
+
+def _verifier(sent):
+    def run(batches):
+        weights = sent.value
+        for batch in batches:
+            a, b, text_a, text_b = batch.columns
+            left = _vectors(text_a, weights)
+            hubs: dict[bytes, tuple] = {}
+            names = b.to_pylist()
+            first = {x: i for i, x in reversed(list(enumerate(names)))}
+            take = sorted(first.values())
+            for i, v in zip(take, _vectors(text_b.take(pa.array(take, pa.int64())), weights), strict=True):
+                hubs[names[i]] = v
+            score = [weighted_jaccard(x, hubs[y]) for x, y in zip(left, names, strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(score, pa.float64())], names=["a", "b", "similarity"])
+
+    return run
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``(node, label)`` of every node of ``edges (a, b)``: the smallest node of its component, by large-star and small-star."""
+    e = scratch.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{name}-0")
+    state = None
+    for i in range(1, 60):
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        e = scratch.put(small.filter("u != v").distinct(), f"{name}-{i}")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        scratch.drop(f"{name}-{i - 1}")
+        if now == state:
+            break
+        state = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of ``docs`` (identified): _sm_src, _sm_row, doc_id, class_id, class_size, n_links, kept.
+
+    Texts are compared as sequences of lower-cased words; equal sequences are one node, and only nodes are sampled and linked, so
+    copies cost one row each. ``class_id`` is the smallest id of the class (null only if all are null), ``n_links`` the number of
+    verified links of the row's text to different texts, ``kept`` marks one row of each class: that of the smallest id, nulls
+    last. Rows without a word (null and empty texts among them) are classes of their own. An empty table gives an
+    empty result. Other columns, of any name, are not read.
+    """
+    spark = docs.sparkSession
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    slim = scratch.put(
+        docs.select(SRC, ROW, F.col(id_col).alias("doc_id"), low.alias("low")).mapInArrow(
+            _names, f"{SRC} long, {ROW} long, doc_id {docs.schema[id_col].dataType.simpleString()}, node binary"
+        ),
+        "names",
+    )
+    nodes = scratch.put(slim.filter("node is not null").groupBy("node").agg(F.min(F.struct(SRC, ROW)).alias("at")).select("node", f"at.{SRC}", f"at.{ROW}"), "nodes")
+    n = nodes.count()
+    only, _ = split_rows(docs.select(SRC, ROW, low.alias("low")), nodes.select(SRC, ROW), scratch, "node-bits")
+    weights = learn_weights(only.select("low"), n, scratch)
+    sent = spark.sparkContext.broadcast(weights)
+    signed = only.select(SRC, ROW, "low").mapInArrow(_signer(sent), f"{SRC} long, {ROW} long, bands array<long>")
+    signed = scratch.put(signed.join(nodes, [SRC, ROW]).select("node", SRC, ROW, "bands"), "signed")
+
+    members = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
+    members = members.select("node", F.xxhash64("band", "bucket").alias("bucket"), F.array("band").alias("used"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = scratch.put(members.join(shared, "bucket"), "members-1")
+    fame = scratch.put(members.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
+    edges_seen, links, texts, labels = None, None, None, None
+    for level in range(1, LEVELS + 1):
+        rows = members.select("node", "bucket").join(fame, "node")
+        if labels is not None:
+            rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        hubs = rows.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("b"))
+        pairs = members.select("node", "bucket").join(hubs, "bucket").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+        if labels is not None:
+            pairs = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+            pairs = pairs.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+            pairs = pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+            pairs = pairs.join(edges_seen, ["a", "b"], "left_anti")
+        pairs = scratch.put(pairs, f"pairs-{level}")
+        if not pairs.isEmpty():
+            if texts is None:
+                texts = _texts(docs, low, members, signed, scratch)
+            scored = _similar(pairs, texts, sent)
+            scored = scratch.put(scored, f"scored-{level}")
+            edges_seen = scored.select("a", "b") if edges_seen is None else edges_seen.union(scored.select("a", "b"))
+            good = scored.filter(F.col("similarity") >= threshold).select("a", "b")
+            links = good if links is None else links.union(good)
+            labels = scratch.put(components(links, scratch, f"star-{level}"), f"labels-{level}")
+        if labels is None or level == LEVELS:
+            break
+        # buckets that still hold several classes are cut finer by a further band of their members
+        tagged = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        torn = tagged.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
+        finer = (
+            members.select("node", "bucket", "used").join(torn, "bucket", "left_semi")
+            .join(signed.select("node", "bands"), "node")
+            .select("node", "bucket", "used", F.posexplode("bands").alias("band", "more"))
+            .filter(F.col("band") > F.element_at("used", -1))
+            .select("node", F.xxhash64("bucket", "band", "more").alias("bucket"), F.concat("used", F.array("band")).alias("used"))
+        )
+        shared = finer.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        members = scratch.put(finer.join(shared, "bucket"), f"members-{level + 1}")
+        if members.isEmpty():
+            break
+
+    out = slim
+    if labels is None:
+        out = out.withColumn("label", F.col("node")).withColumn("n_links", F.lit(0).cast("long"))
+    else:
+        degree = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("d"))
+        known = labels.join(degree, labels["node"] == degree["a"], "left").select(F.col("node"), F.col("label").alias("l"), F.coalesce("d", F.lit(0)).alias("d"))
+        out = out.join(known, "node", "left").withColumn("label", F.coalesce("l", "node")).withColumn("n_links", F.coalesce("d", F.lit(0)).cast("long")).drop("l", "d")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", SRC, ROW)
+    out = scratch.put(out.select(SRC, ROW, "doc_id", "label", "n_links"), "labelled")
+    sized = out.filter("label is not null").groupBy("label").agg(F.min(rank).alias("keep"), F.count("*").alias("size")).filter("size > 1")
+    sized = scratch.put(sized.select(F.col("label").alias("g"), "keep", "size"), "classes")
+    joined = out.join(sized, F.col("label") == F.col("g"), "left")
+    return joined.select(
+        SRC,
+        ROW,
+        "doc_id",
+        F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("class_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
+        "n_links",
+        (F.col("g").isNull() | ((F.col(f"keep.{SRC}") == F.col(SRC)) & (F.col(f"keep.{ROW}") == F.col(ROW)))).alias("kept"),
+    )
+
+
+def _texts(docs: DataFrame, low, members: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, low)`` of the nodes that share a bucket, written once: only these texts are shuffled."""
+    wanted = members.select("node").distinct().join(signed.select("node", SRC, ROW), "node")
+    rows, _ = split_rows(docs.select(SRC, ROW, low.alias("low")), wanted.select(SRC, ROW), scratch, "text-bits")
+    return scratch.put(rows.join(wanted, [SRC, ROW]).select("node", "low"), "texts")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, sent) -> DataFrame:
+    """Similarity of each pair; a hub's text meets its members' in a skew-safe join."""
+    left = texts.select(F.col("node").alias("a"), F.col("low").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("low").alias("text_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_verifier(sent), "a binary, b binary, similarity double")
+
+
+def near_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class (see ``near_groups``); columns as they were, texts not shuffled."""
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = identified(docs, scratch)
+    dropped = near_groups(rows, scratch, text_col=text_col, id_col=id_col, threshold=threshold).filter("not kept").select(SRC, ROW)
+    return without_rows(rows, dropped, scratch, "near-bits")
+
+
+__all__ = ["Sampler", "Weights", "components", "near_dedup", "near_groups", "shingles", "weighted_jaccard"]
