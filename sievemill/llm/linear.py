@@ -95,8 +95,8 @@ def collect_features(rows, text_col: str, label_cols: list[str], bits: int = BIT
     empty = np.empty(0, np.int32)
     return (
         indptr,
-        np.concatenate([*index, empty]).astype(np.int64),
-        np.concatenate([*[np.frombuffer(r.v, np.float32) for r in got], empty.astype(np.float32)]).astype(np.float64),
+        np.concatenate([*index, empty]),
+        np.concatenate([*[np.frombuffer(r.v, np.float32) for r in got], empty.astype(np.float32)]),
         {c: np.array([getattr(r, c) for r in got]) for c in label_cols},
     )
 
@@ -104,7 +104,7 @@ def collect_features(rows, text_col: str, label_cols: list[str], bits: int = BIT
 def unit_rows(indptr: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Values scaled so that each row has length 1."""
     norm = np.sqrt(np.maximum(sums_by(indptr, value * value), 1e-12))
-    return value / np.repeat(norm, np.diff(indptr))
+    return value / np.repeat(norm, np.diff(indptr)).astype(value.dtype)
 
 
 def score_blocks(column, weights: np.ndarray, bits: int = BITS):

@@ -55,7 +55,8 @@ def fit_ordinal(indptr, index, value, grade: np.ndarray, *, bits: int = BITS, ro
         return OrdinalModel(grades, weights, np.empty(0))
     value = unit_rows(indptr, value)
     used, local = np.unique(index, return_inverse=True)
-    row = np.repeat(np.arange(n), np.diff(indptr))
+    local = local.astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(indptr))
     share = np.cumsum(np.bincount(y, minlength=k))[:-1] / n
     start = np.log(share / (1 - share))
     x = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])

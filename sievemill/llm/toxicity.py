@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesops import text_blocks
-from .linear import collect_features, rows_of, sigmoid
+from .linear import rows_of, sigmoid
+from .shared import Scratch
 
 #: Labelled rows that are fitted on at most: those with the smallest hash of their id.
 MAX_FIT_ROWS = 12000
 BITS = 22
+#: Features whose counts by label are told apart by less than this chi-square are left out before anything is collected.
+CHI_SQUARE = 9.0
 #: Voters, and entries of all voters at most.
 VOTERS, ENTRIES = 40, 400
 
@@ -136,13 +139,45 @@ def fit_classifier(row, index, target: np.ndarray, n: int, *, rounds: int = 200,
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col="text", id_col="doc_id", label_col="toxic", max_rows: int = MAX_FIT_ROWS) -> ToxicityModel:
-    """Learns from labelled rows that are not held out, ``max_rows`` at most; null ids and labels are left out."""
+    """Learns from labelled rows that are not held out, ``max_rows`` at most; null ids and labels are left out.
+
+    Features are made and counted on the executors; the driver gets only those that the labels tell apart.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = known.select(F.col(id_col).alias("_sm_id"), F.col(label_col).cast("double").alias("_sm_y"))
     chosen = chosen.orderBy(F.md5(F.col("_sm_id").cast("string")), "_sm_id", "_sm_y").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("_sm_id"), F.coalesce(text_col, F.lit("")).alias("_sm_text")).join(F.broadcast(chosen), "_sm_id")
-    indptr, index, _, got = collect_features(rows, "_sm_text", ["_sm_y"], BITS)
-    return fit_from_features(indptr, index, got["_sm_y"].astype(float))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    made = scratch.put(rows.select("_sm_text", "_sm_y").mapInArrow(_features, "i array<int>, y double"), "features")
+    n, n1 = made.agg(F.count("*"), F.sum("y")).first()
+    share = (n1 or 0.0) / max(1, n)
+    counts = made.select(F.explode("i").alias("f"), "y").groupBy("f").agg(F.count("*").alias("k"), F.sum("y").alias("k1"))
+    surplus = F.col("k1") - share * F.col("k")
+    told = counts.filter((surplus * surplus > CHI_SQUARE * share * (1 - share) * F.col("k")) & (F.abs(surplus) > 2)).select("f")
+    features = np.sort(np.array([r.f for r in told.collect()], np.int32))
+    got = made.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(features)), "i binary, y double").collect()
+    index = [np.frombuffer(r.i, np.int32) for r in got]
+    indptr = np.concatenate([[0], np.cumsum([len(i) for i in index])]).astype(np.int64)
+    return fit_from_features(indptr, np.concatenate([*index, np.empty(0, np.int32)]).astype(np.int64), np.array([r.y for r in got], float))
+
+
+def _features(batches):
+    for batch in batches:
+        lists: list[np.ndarray] = []
+        for lo, hi, buf, offsets in text_blocks(batch.column(0)):
+            d, i, _ = rows_of(buf, offsets, BITS)
+            lists += np.split(i.astype(np.int32), np.searchsorted(d, np.arange(1, hi - lo)))
+        yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1)], names=["i", "y"])
+
+
+def _chosen(sent):
+    def run(batches):
+        for batch in batches:
+            lists = [x.to_numpy(zero_copy_only=False) if len(x) else np.empty(0, np.int32) for x in (v.values for v in batch.column(0))]
+            kept = [np.ascontiguousarray(x[np.isin(x, sent.value)], dtype=np.int32).tobytes() for x in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column(1)], names=["i", "y"])
+
+    return run
 
 
 def fit_from_features(indptr: np.ndarray, index: np.ndarray, y: np.ndarray) -> ToxicityModel:
