@@ -5,7 +5,7 @@ times its inverse document frequency over all distinct texts. Each text gets 64
 two texts agree in one with the probability of their weighted Jaccard similarity. Bands of four samples make
 buckets. In each bucket the member that shares most buckets is the hub, and every other member is verified against
 it by weighted Jaccard similarity; members of a bucket that ends up in several classes meet again in finer buckets
-(two bands, then three). Verified links make classes by connected components.
+of two bands, with other hubs. Verified links make classes by connected components.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ RARE = 0.05
 #: Candidates of frequent shingles that one pass counts (8 bytes each are broadcast).
 MAX_COUNTED = 1 << 21
 #: Bands that the finest buckets share.
-LEVELS = 3
+LEVELS = 2
 _MASK = np.uint64((1 << 50) - 1)
 _C = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -161,37 +161,29 @@ def _names(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.binary())], names=[*batch.schema.names[:-1], "node"])
 
 
+#: Blocks of text whose shingles are counted together when candidates are sought.
+WINDOW = 8
+
+
 def _frequent_here(batches):
-    """Shingles in at least RARE of this task's texts: whatever is as frequent overall is so in some task."""
-    texts = 0
-    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    pending: list[np.ndarray] = []
-
-    def merge():
-        nonlocal keys, counts, pending
-        if pending:
-            more, n = np.unique(np.concatenate(pending), return_counts=True)
-            both = np.concatenate([keys, more])
-            keys, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            pending = []
-
-    blocks = 0
+    """Shingles in at least RARE of the texts of a window of about 8 MB: whatever is as frequent overall is so in some window."""
+    texts, held = 0, []
+
+    def found():
+        s = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.diff(s, prepend=~s[:1]))
+        often = s[first][np.diff(first, append=len(s)) >= RARE * texts]
+        return pa.RecordBatch.from_arrays([pa.array(often.astype(np.int64))], names=["s"])
+
     for batch in batches:
         for lo, hi, buf, offsets in text_blocks(batch.column(0)):
-            _, s, _ = shingles(Words(buf, offsets))
-            pending.append(s)
+            held.append(shingles(Words(buf, offsets))[1])
             texts += hi - lo
-            blocks += 1
-            if blocks % 8 == 0:
-                merge()
-                if blocks % 32 == 0:  # a window of about 32 MB of text is a task of its own: memory stays bounded
-                    found = keys[counts >= RARE * texts]
-                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], names=["s"])
-                    texts, keys, counts = 0, np.empty(0, np.uint64), np.empty(0, np.int64)
-    merge()
-    if texts:
-        yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= RARE * texts].astype(np.int64))], names=["s"])
+            if len(held) == WINDOW:
+                yield found()
+                texts, held = 0, []
+    if held:
+        yield found()
 
 
 def _counter(sent):
@@ -250,41 +242,49 @@ def _signer(sent):
     return run
 
 
+#: Pairs whose vectors are in memory at a time.
+SLICE = 256
+
+
 def _verifier(sent):
     def run(batches):
         weights = sent.value
-        for batch in batches:
-            a, b, text_a, text_b = batch.columns
-            left = _vectors(text_a, weights)
-            hubs: dict[bytes, tuple] = {}
-            names = b.to_pylist()
-            first = {x: i for i, x in reversed(list(enumerate(names)))}
-            take = sorted(first.values())
-            for i, v in zip(take, _vectors(text_b.take(pa.array(take, pa.int64())), weights), strict=True):
-                hubs[names[i]] = v
-            score = [weighted_jaccard(x, hubs[y]) for x, y in zip(left, names, strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(score, pa.float64())], names=["a", "b", "similarity"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                a, b, text_a, text_b = whole.slice(at, SLICE).columns
+                names = b.to_pylist()
+                first = {x: i for i, x in reversed(list(enumerate(names)))}
+                take = sorted(first.values())
+                hubs = dict(zip((names[i] for i in take), _vectors(text_b.take(pa.array(take, pa.int64())), weights), strict=True))
+                score = [weighted_jaccard(x, hubs[y]) for x, y in zip(_vectors(text_a, weights), names, strict=True)]
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(score, pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``(node, label)`` of every node of ``edges (a, b)``: the smallest node of its component, by large-star and small-star."""
-    e = scratch.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{name}-0")
-    state = None
-    for i in range(1, 60):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = scratch.put(small.filter("u != v").distinct(), f"{name}-{i}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        scratch.drop(f"{name}-{i - 1}")
-        if now == state:
+    """``(node, label)`` of every node of ``edges (a, b)``, by contraction of stars.
+
+    Each round gives every hub ``b`` and its members the smallest of them, then every member the smallest of its hubs'.
+    Where a member saw several, those labels are the edges of the next, far smaller round; labels are composed at the end.
+    """
+    rounds = []
+    for i in range(60):
+        least = edges.groupBy("b").agg(F.min("a").alias("m"))
+        stars = edges.join(least, "b").select("a", "b", F.least("b", "m").alias("m"))
+        spread = stars.select(F.explode(F.array(F.struct(F.col("a").alias("n"), "m"), F.struct(F.col("b").alias("n"), "m"))).alias("x")).select("x.n", "x.m")
+        best = spread.groupBy("n").agg(F.min("m").alias("label"), F.collect_set("m").alias("all"))
+        best = scratch.put(best, f"{name}-{i}")
+        rounds.append(best.select(F.col("n").alias("node"), "label"))
+        edges = best.filter(F.size("all") > 1).select(F.explode("all").alias("a"), F.col("label").alias("b")).filter("a != b").distinct()
+        edges = scratch.put(edges, f"{name}-edges-{i}")
+        if edges.isEmpty():
             break
-        state = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    labels = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        later = labels.select(F.col("node").alias("label"), F.col("label").alias("final"))
+        labels = earlier.join(later, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    return labels
 
 
 def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -313,48 +313,37 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
     signed = scratch.put(signed.join(nodes, [SRC, ROW]).select("node", SRC, ROW, "bands"), "signed")
 
     members = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
-    members = members.select("node", F.xxhash64("band", "bucket").alias("bucket"), F.array("band").alias("used"))
+    members = members.select("node", "band", F.xxhash64("band", "bucket").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = scratch.put(members.join(shared, "bucket"), "members-1")
-    fame = scratch.put(members.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
-    edges_seen, links, texts, labels = None, None, None, None
+    members = scratch.put(members.join(shared, "bucket"), "members")
+    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
+    members = scratch.put(members.join(fame, "node").select("node", "band", "bucket", "fame", F.col("node").alias("label")), "famed")
+    links, texts, labels = None, None, None
     for level in range(1, LEVELS + 1):
-        rows = members.select("node", "bucket").join(fame, "node")
-        if labels is not None:
-            rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        hubs = rows.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("b"))
-        pairs = members.select("node", "bucket").join(hubs, "bucket").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
-        if labels is not None:
-            pairs = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-            pairs = pairs.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-            pairs = pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-            pairs = pairs.join(edges_seen, ["a", "b"], "left_anti")
+        # the first hubs are the most widely shared texts, later ones the least, so that no hub is tried twice in vain
+        order = F.struct((F.col("fame") if level == 1 else -F.col("fame")).alias("o"), "node", "label")
+        hubs = members.groupBy("bucket").agg(F.max(order).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+        hubs = hubs.select("bucket", F.col("hub.node").alias("b"), F.col("hub.label").alias("hub_label"))
+        pairs = members.join(hubs, "bucket").filter("label != hub_label").select(F.col("node").alias("a"), "b").distinct()
         pairs = scratch.put(pairs, f"pairs-{level}")
-        if not pairs.isEmpty():
-            if texts is None:
-                texts = _texts(docs, low, members, signed, scratch)
-            scored = _similar(pairs, texts, sent)
-            scored = scratch.put(scored, f"scored-{level}")
-            edges_seen = scored.select("a", "b") if edges_seen is None else edges_seen.union(scored.select("a", "b"))
-            good = scored.filter(F.col("similarity") >= threshold).select("a", "b")
-            links = good if links is None else links.union(good)
+        if pairs.isEmpty():
+            break
+        if texts is None:
+            texts = _texts(docs, low, members, signed, scratch)
+        scored = scratch.put(_similar(pairs, texts, sent), f"scored-{level}")
+        good = scored.filter(F.col("similarity") >= threshold).select("a", "b")
+        links = good if links is None else links.union(good)
+        if labels is None or not good.isEmpty():
             labels = scratch.put(components(links, scratch, f"star-{level}"), f"labels-{level}")
-        if labels is None or level == LEVELS:
+        if level == LEVELS:
             break
         # buckets that still hold several classes are cut finer by a further band of their members
-        tagged = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        tagged = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        tagged = scratch.put(tagged, f"tagged-{level}")
         torn = tagged.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
-        finer = (
-            members.select("node", "bucket", "used").join(torn, "bucket", "left_semi")
-            .join(signed.select("node", "bands"), "node")
-            .select("node", "bucket", "used", F.posexplode("bands").alias("band", "more"))
-            .filter(F.col("band") > F.element_at("used", -1))
-            .select("node", F.xxhash64("bucket", "band", "more").alias("bucket"), F.concat("used", F.array("band")).alias("used"))
-        )
-        shared = finer.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        members = scratch.put(finer.join(shared, "bucket"), f"members-{level + 1}")
-        if members.isEmpty():
-            break
+        more = members.select("node", F.col("band").alias("more_band"), F.col("bucket").alias("more"))
+        finer = tagged.join(torn, "bucket", "left_semi").join(more, "node").filter("more_band > band")
+        members = scratch.put(finer.select("node", F.col("more_band").alias("band"), F.xxhash64("bucket", "more").alias("bucket"), "fame", "label"), f"members-{level + 1}")
 
     out = slim
     if labels is None:

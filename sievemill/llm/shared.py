@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SRC, ROW = "_sm_src", "_sm_row"
 #: Rows of one bitmap: 2**14 bits are 2 KB.
 CHUNK_BITS = 14
+#: Rows of an Arrow batch while a scratch table is written.
+BATCH_ROWS = 1000
 #: A broadcast holds this many bitmaps at most (64 MB); more are worked off in blocks of files.
 MAX_BITMAPS = 1 << 15
 
@@ -52,8 +54,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str, columns: int | None = None) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` and reads it back. Texts go to Python in batches of ``BATCH_ROWS`` meanwhile, so that memory is bounded."""
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str | None = None) -> None:
