@@ -37,7 +37,7 @@ class Template:
             "assistant": Turn(" ", " </s>", loss=True),
         }
     )
-    #: Any other role: its name stands in the marker.
+    #: Any other role: its name, URL-encoded, stands behind the marker.
     other: Turn = Turn("[ROLE] ", " [/ROLE]")
     null_role: str = "\\0"
     machine: dict[tuple[str, str], str] = field(
@@ -103,7 +103,7 @@ def format_chat(
         return out.otherwise(other)
 
     def segments(r: Column) -> Column:
-        name = F.coalesce(escape(r["role"], t), F.lit(t.null_role))
+        name = F.coalesce(F.url_encode(r["role"]), F.lit(t.null_role))
         opened = by_role(r, lambda x: F.lit(x.before), F.concat(F.lit(t.other.before), name, F.lit("\n")))
         closed = by_role(r, lambda x: F.lit(x.after), F.lit(t.other.after))
         loss = by_role(r, lambda x: F.lit(x.loss), F.lit(t.other.loss))
@@ -158,7 +158,7 @@ def read_chat(formatted: Column, template: Template = Template()) -> Column:  #
             text = (F if text is None else text).when(own, _inner(p, x))
         inner = _inner(p, t.other)
         name = F.substring_index(inner, "\n", 1)
-        role = role.otherwise(F.when(name != t.null_role, unescape(name)))
+        role = role.otherwise(F.when(name != t.null_role, F.url_decode(name)))
         text = text.otherwise(F.substring(inner, F.length(name) + 2, F.length(inner)))
         return F.struct(role.alias("role"), unescape(text).alias("text"))
 

@@ -21,9 +21,9 @@ from .shared import ROW, SRC, Scratch, identified, split_rows, without_rows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Documents frequencies below this share of all distinct texts count as this share: a shingle that is in fewer
-#: than one of twenty texts has the full weight, and at most 20 times a text's mean length of shingles lie above.
-RARE = 0.05
+#: Document frequencies below this share of all distinct texts count as this share: a shingle that is in fewer
+#: than one of five texts has the full weight, and at most 5 times a text's mean length of shingles lie above.
+RARE = 0.2
 #: Candidates of frequent shingles that one pass counts (8 bytes each are broadcast).
 MAX_COUNTED = 1 << 21
 #: Bands that the finest buckets share.
@@ -212,7 +212,7 @@ def learn_weights(texts: DataFrame, n: int, scratch: Scratch) -> Weights:
         keys = np.sort(np.array([r.s for r in mine.toLocalIterator()], np.uint64))
         sent = texts.sparkSession.sparkContext.broadcast(keys)
         counted = texts.mapInArrow(_counter(sent), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-        # at most shingles / (RARE * n) of them: 20 times the mean number of shingles of a text
+        # at most shingles / (RARE * n) of them: 5 times the mean number of shingles of a text
         frequent |= {r.s: r.n for r in counted.filter(F.col("n") >= RARE * n).collect()}
         sent.unpersist()
     return Weights(n, frequent)

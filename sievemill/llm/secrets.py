@@ -98,9 +98,7 @@ def scan_text(text: str | bytes | None) -> list[tuple[int, int, str, bool]]:
     """``(start, end, kind, base)`` of all spans of one text, in code points; null is empty."""
     raw = text if isinstance(text, bytes) else (text or "").encode()
     base = base_spans(raw)
-    known = set(base)
-    found = base + linked_spans(raw, base)
-    return [(a, b, k, k in KINDS[:3]) for a, b, k in _points(raw, found)] if known or found else []
+    return [(a, b, k, k in KINDS[:3]) for a, b, k in _points(raw, base + linked_spans(raw, base))]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("base", T.BooleanType())]))
