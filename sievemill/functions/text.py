@@ -168,7 +168,7 @@ def compress_whitespace(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\A\n{2,}", "\n"), r"\n{2,}\z", "\n"), r"\n{3,}", "\n\n")
 
 
-def _unique_lines(text: str) -> str:
+def unique_lines(text: str) -> str:
     seen, out = set(), []
     for line in text.split("\n"):
         bare = line.strip(" \t\r\f\v")
@@ -186,7 +186,7 @@ def deduplicate_lines(text: Column | str) -> Column:
 
     Whether a line is new depends on all before it, so this is a pass over each text by Arrow batches, linear in its length.
     """
-    return F.pandas_udf(lambda s: s.map(_unique_lines), "string")(F.coalesce(_col(text), F.lit("")))
+    return F.pandas_udf(lambda s: s.map(unique_lines), "string")(F.coalesce(_col(text), F.lit("")))
 
 
 def sanitise_note(note: Column | str, limit: int = 2000) -> Column:
@@ -247,9 +247,9 @@ def human_size(n: Column | str) -> Column:
     n = _col(n).cast("double")
     out = None
     for i, unit in enumerate(["B", "KB", "MB", "GB"]):
-        here = F.concat(F.format_number(F.round(n / 1024**i, 1), "0.0"), F.lit(f" {unit}"))
+        here = F.format_string(f"%.1f {unit}", n / 1024**i)
         out = (F if out is None else out).when(n < 1024 ** (i + 1), here)
-    return out.otherwise(F.concat(F.format_number(F.round(n / 1024**4, 1), "0.0"), F.lit(" TB")))
+    return out.otherwise(F.format_string("%.1f TB", n / 1024**4))
 
 
 def note_time(filename: Column | str) -> Column:
@@ -260,7 +260,7 @@ def note_time(filename: Column | str) -> Column:
 
 def duration_text(start: Column, end: Column) -> Column:
     seconds = F.unix_timestamp(end) - F.unix_timestamp(start)
-    return F.when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" minutes"))).otherwise(F.concat(F.format_number(seconds / 3600, "0.0"), F.lit(" hours")))
+    return F.when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" minutes"))).otherwise(F.format_string("%.1f hours", seconds / 3600))
 
 
 def line_slice(text: Column, start: Column, end: Column, limit: int = 400) -> Column:

@@ -88,9 +88,11 @@ def inline_tests(symbols: DataFrame, name: str) -> DataFrame:
 
 
 def affected_names(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Names that only one version of the changed files defines."""
-    a, b = old.select("name").distinct(), new.select("name").distinct()
-    return a.join(b, "name", "left_anti").union(b.join(a, "name", "left_anti"))
+    """Names, plain and qualified, of symbols that only one version of the changed files has: calls by them may resolve anew."""
+    keys = [c for c in ("name", "qualified_name", "id") if c in old.columns]
+    a, b = old.select(*keys).distinct(), new.select(*keys).distinct()
+    differ = a.join(b, keys, "left_anti").union(b.join(a, keys, "left_anti"))
+    return differ.select(F.explode(F.array(*[c for c in keys if c != "id"])).alias("name")).distinct()
 
 
 def maintain_edges(edges: DataFrame, refs: DataFrame, symbols: DataFrame, changed: DataFrame, names: DataFrame) -> DataFrame:

@@ -192,7 +192,13 @@ def bundle(sections: DataFrame) -> DataFrame:
 
     A bundle has a handful of sections; they are the bounded group.
     """
-    body = T.deduplicate_lines(T.compress_whitespace(T.redact_secrets("body")))
+
+    def once(batches):
+        for pdf in batches:
+            yield pdf.assign(body=pdf["body"].map(T.unique_lines))
+
+    clean = sections.select(F.col("ord").cast("int"), "title", T.compress_whitespace(T.redact_secrets("body")).alias("body"))
+    sections, body = clean.mapInPandas(once, "ord int, title string, body string"), F.col("body")
     part = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.when(F.trim(body) == "", "None").otherwise(body))
     made = sections.select("ord", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("ord", "part"))).alias("x"))
     text = F.array_join(F.col("x.part"), "\n\n")

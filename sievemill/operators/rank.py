@@ -206,7 +206,7 @@ def pack(ranked: DataFrame, query: str, query_type: str, budget: int = 10_000, m
     place = F.coalesce(F.col("start_line").cast("string"), F.lit("?"))
     stop = F.coalesce(F.col("end_line").cast("string"), F.lit("?"))
     loc = F.when(F.col("start_line").isNotNull(), F.concat("file", F.lit(":"), place, F.lit("-"), F.coalesce("end_line", "start_line").cast("string"))).otherwise(F.col("file"))
-    number = lambda c, d: F.format_number(F.coalesce(c, F.lit(0.0)), "0." + "0" * d)
+    number = lambda c, d: F.format_string(f"%.{d}f", F.coalesce(c, F.lit(0.0)))
     bullet = F.concat(
         F.lit("- "), loc, F.lit(" "), F.coalesce("symbol_kind", F.lit("")), F.lit(" "), F.coalesce("symbol", F.lit("")),
         F.lit(" (score:"), number(F.col("score"), 2), F.lit(" authority:"), F.col("authority_score").cast("string"), F.lit(" final:"), number(F.col("final_score"), 1), F.lit(")"),

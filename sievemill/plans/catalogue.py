@@ -206,7 +206,7 @@ def _(t):
     return t.spark.createDataFrame([(q,) for q, _ in QUERY_CASES], "query string").select("query", C.classify_query("query").alias("kind"))
 
 
-IDENT_CASES = [("where is parse_file and UserService used", "parse_file UserService used"), ("how does Foo.bar_baz work with foo", "Foo.bar_baz bar_baz foo does work"), ("find Q", "Q"), ("is the", "")]
+IDENT_CASES = [("where is parse_file and UserService used", "parse_file UserService used"), ("how does Foo.bar_baz work with foo", "Foo.bar_baz bar_baz does with work"), ("find Q", "Q"), ("is the", "")]
 
 
 @query("identifiers_top5")
