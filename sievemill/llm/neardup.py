@@ -270,9 +270,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     rounds = []
     for i in range(60):
-        least = edges.groupBy("b").agg(F.min("a").alias("m"))
-        stars = edges.join(least, "b").select("a", "b", F.least("b", "m").alias("m"))
-        spread = stars.select(F.explode(F.array(F.struct(F.col("a").alias("n"), "m"), F.struct(F.col("b").alias("n"), "m"))).alias("x")).select("x.n", "x.m")
+        least = scratch.put(edges.groupBy("b").agg(F.min("a").alias("m")), f"{name}-least-{i}")
+        stars = edges.join(least, "b").select("a", F.least("b", "m").alias("m"))
+        spread = stars.select(F.col("a").alias("n"), "m").union(least.select(F.col("b").alias("n"), F.least("b", "m").alias("m")))
         best = spread.groupBy("n").agg(F.min("m").alias("label"), F.collect_set("m").alias("all"))
         best = scratch.put(best, f"{name}-{i}")
         rounds.append(best.select(F.col("n").alias("node"), "label"))
@@ -314,7 +314,9 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
 
     members = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
     members = members.select("node", "band", F.xxhash64("band", "bucket").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # aggregates that are joined back to their rows are written first: then both sides of the join are plain exchanges, and
+    # Spark can split the rows of a bucket, hub or group that holds a third of them
+    shared = scratch.put(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     members = scratch.put(members.join(shared, "bucket"), "members")
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
     members = scratch.put(members.join(fame, "node").select("node", "band", "bucket", "fame", F.col("node").alias("label")), "famed")
@@ -323,7 +325,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
         # the first hubs are the most widely shared texts, later ones the least, so that no hub is tried twice in vain
         order = F.struct((F.col("fame") if level == 1 else -F.col("fame")).alias("o"), "node", "label")
         hubs = members.groupBy("bucket").agg(F.max(order).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-        hubs = hubs.select("bucket", F.col("hub.node").alias("b"), F.col("hub.label").alias("hub_label"))
+        hubs = scratch.put(hubs.select("bucket", F.col("hub.node").alias("b"), F.col("hub.label").alias("hub_label")), f"hubs-{level}")
         pairs = members.join(hubs, "bucket").filter("label != hub_label").select(F.col("node").alias("a"), "b").distinct()
         pairs = scratch.put(pairs, f"pairs-{level}")
         if pairs.isEmpty():
@@ -341,6 +343,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
         tagged = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         tagged = scratch.put(tagged, f"tagged-{level}")
         torn = tagged.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
+        torn = scratch.put(torn, f"torn-{level}")
         more = members.select("node", F.col("band").alias("more_band"), F.col("bucket").alias("more"))
         finer = tagged.join(torn, "bucket", "left_semi").join(more, "node").filter("more_band > band")
         members = scratch.put(finer.select("node", F.col("more_band").alias("band"), F.xxhash64("bucket", "more").alias("bucket"), "fame", "label"), f"members-{level + 1}")
@@ -351,6 +354,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
     else:
         degree = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("d"))
         known = labels.join(degree, labels["node"] == degree["a"], "left").select(F.col("node"), F.col("label").alias("l"), F.coalesce("d", F.lit(0)).alias("d"))
+        known = scratch.put(known, "known")
         out = out.join(known, "node", "left").withColumn("label", F.coalesce("l", "node")).withColumn("n_links", F.coalesce("d", F.lit(0)).cast("long")).drop("l", "d")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", SRC, ROW)
     out = scratch.put(out.select(SRC, ROW, "doc_id", "label", "n_links"), "labelled")
