@@ -43,7 +43,8 @@ def code_tokens(text: Column | str) -> Column:
         parts = F.filter(F.split(token, r"[./]"), lambda s: s != "")
         inner = F.flatten(F.transform(parts, split_part))
         slash, dot = F.instr(token, "/") > 0, F.instr(token, ".") > 0
-        return F.when(slash, inner).when(dot, F.concat(with_lower(token), inner)).otherwise(split_part(token))
+        plain = ~token.rlike("[._/]|[a-z][A-Z]|[A-Z][A-Z][a-z]")  # most words: nothing to take apart
+        return F.when(plain, with_lower(token)).when(slash, inner).when(dot, F.concat(with_lower(token), inner)).otherwise(split_part(token))
 
     return F.filter(F.flatten(F.transform(raw, expand)), lambda s: (F.octet_length(s) <= MAX_TOKEN_BYTES) & (s != ""))
 
