@@ -23,16 +23,16 @@ RETRIEVERS: dict[str, Retriever] = {}
 
 
 def register_embedder(name: str, embed: Callable[[list[str]], list[list[float]]], dimension: int) -> None:
-    """``embed`` maps a list of texts to unit vectors; batches arrive by Arrow and a wrong dimension ends the job."""
+    """``embed`` maps a list of texts to vectors, which are scaled to unit length; batches arrive by Arrow and a wrong dimension ends the job."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         out = embed(texts.fillna("").tolist())
         if any(len(v) != dimension for v in out):
             raise ValueError(f"{name}: a vector is not of dimension {dimension}")
-        return pd.Series(out)
+        return pd.Series([[x / max(sum(y * y for y in v) ** 0.5, 1e-6) for x in v] for v in out])
 
-    EMBEDDERS[name] = lambda c: T.l2_normalise(run(c))
+    EMBEDDERS[name] = run
 
 
 def register_retriever(name: str, retriever: Retriever) -> None:

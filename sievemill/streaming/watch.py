@@ -22,12 +22,17 @@ def event_class(kind: Column | str = "kind", path: Column | str = "path", is_dir
     return F.when(k.isin("access", "noop"), "noop").when(k.isin("overflow", "rescan") | p.isNull() | p.rlike(IGNORE_FILES) | d, "unknown").otherwise("paths")
 
 
+def _marked(events: DataFrame, lateness: str) -> DataFrame:
+    """Streams get a watermark on ``ts``, which has to be a timestamp with time zone for that; tables stay as they are."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness) if events.isStreaming else events
+
+
 def coalesced(events: DataFrame, window: str = "120 milliseconds", lateness: str = "10 seconds") -> DataFrame:
     """The last event of each (root, path) in each debounce window; works on streams and on tables.
 
     The aggregate keeps one row for each key, so state is bounded by the paths that change within the lateness.
     """
-    marked = events.withWatermark("ts", lateness) if events.isStreaming else events
+    marked = _marked(events, lateness)
     last = F.max_by(F.struct("kind", "is_dir"), "ts")
     return marked.groupBy(F.window("ts", window).alias("w"), "root", "path").agg(last.alias("e"), F.max("ts").alias("ts"), F.count("*").alias("events")).select("root", "path", F.col("w.end").alias("due"), "ts", "e.kind", "e.is_dir", "events")
 
@@ -91,26 +96,26 @@ def tail_lines(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFra
 
 def session_log(events: DataFrame, window: str = "2 seconds", lateness: str = "10 seconds") -> DataFrame:
     """The last event of each ``type:src:dest`` in each flush window: ``events(ts, type, src, dest)``."""
-    marked = events.withWatermark("ts", lateness) if events.isStreaming else events
+    marked = _marked(events, lateness)
     key = F.concat_ws(":", "type", "src", F.coalesce("dest", F.lit("")))
     return marked.groupBy(F.window("ts", window).alias("w"), key.alias("key")).agg(F.max("ts").alias("ts"), F.max_by("type", "ts").alias("type")).select(F.col("w.end").alias("flushed"), "key", "ts", "type")
 
 
 def windowed_counts(events: DataFrame, size: str, slide: str | None = None, lateness: str = "1 hour", by: str = "event_type") -> DataFrame:
     """Tumbling or sliding counts and sums with late data dropped beyond the watermark."""
-    marked = events.withWatermark("ts", lateness) if events.isStreaming else events
+    marked = _marked(events, lateness)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return marked.groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), by, "n", "total")
 
 
 def session_counts(events: DataFrame, gap: str, lateness: str = "1 hour", by: str = "user_id") -> DataFrame:
-    marked = events.withWatermark("ts", lateness) if events.isStreaming else events
+    marked = _marked(events, lateness)
     return marked.groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
 def stream_join(left: DataFrame, right: DataFrame, key: str, within: str = "10 minutes", lateness: str = "1 hour") -> DataFrame:
     """Pairs of events of two streams with one key and times within a bound; the bound and the watermarks limit state."""
-    a, b = (left.withWatermark("ts", lateness), right.withWatermark("ts", lateness)) if left.isStreaming else (left, right)
+    a, b = _marked(left, lateness), _marked(right, lateness)
     a, b = a.select(F.col(key).alias("k"), F.col("ts").alias("left_ts")), b.select(F.col(key).alias("rk"), F.col("ts").alias("right_ts"))
     return a.join(b, F.expr(f"k = rk AND right_ts >= left_ts AND right_ts <= left_ts + INTERVAL {within}")).select(F.col("k").alias(key), "left_ts", "right_ts")
 

@@ -147,7 +147,7 @@ def test_bundle_digest_checklist_health(spark):
     files = spark.createDataFrame([("README.md", 10), ("src/main.py", 50), ("tests/test_a.py", 5), ("docs/api.md", 7)], "path string, size_bytes long").withColumn("content", F.lit(""))
     assert prep.digest(files).first().files == 4
     assert prep.checklist(files).filter("group = 'README'").first().n == 1
-    assert prep.project_health(files).first().grade == "F"
+    assert prep.project_health(files).first().grade == "D"
     assert prep.architecture(files, spark.createDataFrame([("django",)], "name string")).first().frameworks == ["Django"]
     assert prep.conflict_markers(spark.createDataFrame([("a", "<<<<<<< x"), ("b", "ok")], "path string, content string")).count() == 1
     assert prep.process_match(spark.createDataFrame([(1, ["npm", "run", "dev"]), (2, ["run"])], "pid int, tokens array<string>"), [["run", "dev"]]).first().pid == 1
