@@ -5,7 +5,8 @@ times its inverse document frequency over all distinct texts. Each text gets 64
 two texts agree in one with the probability of their weighted Jaccard similarity. Bands of four samples make
 buckets. In each bucket the member that shares most buckets is the hub, and every other member is verified against
 it by weighted Jaccard similarity; members of a bucket that ends up in several classes meet again in finer buckets
-of two bands, with other hubs. Verified links make classes by connected components.
+of two bands, with other hubs. Pairs that share a bucket and are still in different classes are then verified one by
+one, in blocks of a bucket's members. Verified links make classes by connected components.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ BANDS, ROWS = 16, 4
 RARE = 0.2
 #: Candidates of frequent shingles that one pass counts (8 bytes each are broadcast).
 MAX_COUNTED = 1 << 21
-#: Bands that the finest buckets share.
+#: Bands that the finest buckets with hubs share.
 LEVELS = 2
+#: Members of a bucket that meet another such block, or each other, in one group.
+BLOCK = 128
 _MASK = np.uint64((1 << 50) - 1)
 _C = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -320,12 +323,13 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
     members = scratch.put(members.join(shared, "bucket"), "members")
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
     members = scratch.put(members.join(fame, "node").select("node", "band", "bucket", "fame", F.col("node").alias("label")), "famed")
-    links, texts, labels = None, None, None
+    links, texts, labels, famed, first_hubs = None, None, None, members, None
     for level in range(1, LEVELS + 1):
         # the first hubs are the most widely shared texts, later ones the least, so that no hub is tried twice in vain
         order = F.struct((F.col("fame") if level == 1 else -F.col("fame")).alias("o"), "node", "label")
         hubs = members.groupBy("bucket").agg(F.max(order).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
         hubs = scratch.put(hubs.select("bucket", F.col("hub.node").alias("b"), F.col("hub.label").alias("hub_label")), f"hubs-{level}")
+        first_hubs = hubs if first_hubs is None else first_hubs
         pairs = members.join(hubs, "bucket").filter("label != hub_label").select(F.col("node").alias("a"), "b").distinct()
         pairs = scratch.put(pairs, f"pairs-{level}")
         if pairs.isEmpty():
@@ -348,6 +352,12 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
         finer = tagged.join(torn, "bucket", "left_semi").join(more, "node").filter("more_band > band")
         members = scratch.put(finer.select("node", F.col("more_band").alias("band"), F.xxhash64("bucket", "more").alias("bucket"), "fame", "label"), f"members-{level + 1}")
 
+    if labels is not None:
+        good = scratch.put(_rest(famed, first_hubs, labels, texts, signed, sent, threshold, scratch), "scored-rest").select("a", "b")
+        if not good.isEmpty():
+            links = links.union(good)
+            labels = scratch.put(components(links, scratch, "star-rest"), "labels-rest")
+
     out = slim
     if labels is None:
         out = out.withColumn("label", F.col("node")).withColumn("n_links", F.lit(0).cast("long"))
@@ -387,6 +397,69 @@ def _similar(pairs: DataFrame, texts: DataFrame, sent) -> DataFrame:
     return both.mapInArrow(_verifier(sent), "a binary, b binary, similarity double")
 
 
+def _judge(sent, threshold: float):
+    """All pairs of a group's two blocks (or its one) that are of different classes and meet in no earlier band."""
+
+    def run(key, table):
+        at, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        node, label, own, bands, low = (table.column(c).combine_chunks() for c in ("node", "label", "own", "bands", "low"))
+        own, bands = own.to_numpy(), bands.flatten().to_numpy().reshape(len(node), BANDS)
+        label = label.dictionary_encode().indices.to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        need = label[left][:, None] != label[right]
+        if i == j:
+            need = np.triu(need, 1)
+        for b in range(at + 1):
+            same = bands[left, b][:, None] == bands[right, b]
+            need &= same if b == at else ~same
+        a, b, score = [], [], []
+        if need.any():
+            v = _vectors(low, sent.value)
+            right_s, right_w = (np.concatenate([v[y][k] for y in right]) for k in (0, 1))
+            begin = np.cumsum([0, *[len(v[y][0]) for y in right[:-1]]])
+            known, place = np.unique(right_s, return_inverse=True)
+            total = np.add.reduceat(right_w, begin)
+            for x in np.flatnonzero(need.any(axis=1)):
+                s, w = v[left[x]]
+                where = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                hit = known[where] == s
+                mine = np.zeros(len(known))
+                mine[where[hit]] = w[hit]
+                least = np.add.reduceat(np.minimum(mine[place], right_w), begin)
+                # sums in another order may differ in the last digits: the exact test is that of the hubs
+                for y in np.flatnonzero(need[x] & (least >= (threshold - 1e-6) * (w.sum() + total - least))):
+                    similarity = weighted_jaccard(v[left[x]], v[right[y]])
+                    if similarity >= threshold:
+                        a.append(node[int(left[x])].as_py())
+                        b.append(node[int(right[y])].as_py())
+                        score.append(similarity)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(score, pa.float64())})
+
+    return run
+
+
+def _rest(members: DataFrame, hubs: DataFrame, labels: DataFrame, texts: DataFrame, signed: DataFrame, sent, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links among the pairs that share a bucket, are of different classes and of which neither is the bucket's hub.
+
+    The members of a bucket's largest class need not meet each other: blocks of the others meet all blocks, so a group has at most
+    some two blocks of texts whatever the bucket's size, and a text goes to as many groups as there are blocks for it to meet.
+    """
+    left = members.select("node", "band", "bucket").join(hubs.select("bucket", "b"), "bucket").filter("node != b").drop("b")
+    left = scratch.put(left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "left")
+    classes = left.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    sizes = classes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")).filter("classes > 1")
+    sizes = scratch.put(sizes.select("bucket", "n", F.col("top.n").alias("most"), F.col("top.label").alias("main")), "sizes")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    single, main, here = F.col("n") <= BLOCK, F.col("label") == F.col("main"), F.xxhash64("node")
+    few, many = blocks(F.col("n") - F.col("most")), blocks(F.col("most"))
+    own = F.when(single, 0).when(main, few + F.pmod(here, many)).otherwise(F.pmod(here, few)).cast("int")
+    meets = F.when(single, F.array(F.lit(0))).when(main, F.sequence(F.lit(0), few - 1)).otherwise(F.sequence(F.lit(0), few + many - 1))
+    rows = left.join(sizes, "bucket").select("node", "band", "bucket", "label", own.alias("own"), meets.alias("meets"))
+    rows = rows.join(texts, "node").join(signed.select("node", "bands"), "node").withColumn("other", F.explode("meets")).drop("meets")
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    return rows.groupBy("bucket", "band", "i", "j").applyInArrow(_judge(sent, threshold), "a binary, b binary, similarity double")
+
+
 def near_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class (see ``near_groups``); columns as they were, texts not shuffled."""
     scratch = Scratch(docs.sparkSession, "near")

@@ -85,6 +85,40 @@ def test_classes_against_brute_force(spark, tmp_path):
     assert nd.near_dedup(df.limit(0)).count() == 0
 
 
+def test_pairs_in_a_large_family_that_is_less_alike(spark, tmp_path):
+    """600 texts of one template, about 0.75 alike, and near 0.82 in pairs: the hub of a bucket is like neither of a pair."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(5000)]
+    head, tail = rng.choices(vocab, k=110), rng.choices(vocab, k=109)
+    slots = [rng.choices(vocab, k=31) for _ in range(540)]
+    slots += [s[:11] + rng.choices(vocab, k=20) for s in slots[:60]]
+    family = [" ".join(head + s + tail) for s in slots]
+    texts = family + [" ".join(rng.choices(vocab, k=8)) for _ in range(2600)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    v = vectors(family, nd.Weights(len(texts)))
+    alike = {(i, j) for j in range(len(v)) for i in range(j) if nd.weighted_jaccard(v[i], v[j]) >= 0.8}
+    assert alike == {(i, 540 + i) for i in range(60)} and 0.7 < nd.weighted_jaccard(v[100], v[101]) < 0.8
+    scratch = Scratch(spark, "t")
+    rows = nd.near_groups(identified(spark.read.parquet(f"{tmp_path}/d"), scratch), scratch).collect()
+    assert {(r.class_id, r.doc_id) for r in rows if r.class_id != r.doc_id} == alike
+
+
+@pytest.mark.parametrize("block", [2, 7, 128])
+def test_blocks_of_a_bucket_meet_in_all_pairs(spark, monkeypatch, block):
+    """Whatever the size of blocks, each pair of different classes is met once: 30 members, 12 of them of one class, in two bands."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    nodes = [bytes([i]) for i in range(31)]
+    texts = spark.createDataFrame([(n, "a b c d e f g") for n in nodes], "node binary, low string")
+    signed = spark.createDataFrame([(n, [1, 2, *[100 * n[0] + k for k in range(14)]]) for n in nodes], "node binary, bands array<long>")
+    members = spark.createDataFrame([(n, b, b) for n in nodes for b in (0, 1)], "node binary, band int, bucket long")
+    hubs = spark.createDataFrame([(0, nodes[30]), (1, nodes[30])], "bucket long, b binary")
+    labels = spark.createDataFrame([(n, nodes[0]) for n in nodes[:12]], "node binary, label binary")
+    sent = spark.sparkContext.broadcast(nd.Weights(31))
+    rows = nd._rest(members, hubs, labels, texts, signed, sent, 0.8, Scratch(spark, "t")).collect()
+    met = [frozenset((bytes(r.a)[0], bytes(r.b)[0])) for r in rows]
+    assert len(met) == len(set(met)) and set(met) == {frozenset((i, j)) for j in range(12, 30) for i in range(j)}
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f g"), (7, "a b c d e f g"), (7, "A b c d e f g!"), (8, None), (None, None)], "doc_id long, text string")
     scratch = Scratch(spark, "t")
