@@ -483,15 +483,14 @@ _REFS = "SELECT CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END || CAST(
 
 
 def _symbols(t: Tables) -> DataFrame:
-    c = t.conversations.filter("turn < 3")
     conv = F.col("conv_id").cast("string")
-    return c.select(F.concat(conv, F.lit(":"), F.col("turn").cast("string")).alias("id"), F.concat("role", (F.col("conv_id") % 7).cast("string")).alias("name"), F.concat(conv, F.lit("."), "role").alias("qualified_name"), conv.alias("file"), F.col("turn").cast("int").alias("start_line"))
+    return t.conversations.select(F.concat(conv, F.lit(":"), F.col("turn").cast("string")).alias("id"), F.concat("role", (F.col("conv_id") % 7).cast("string")).alias("name"), F.concat(conv, F.lit("."), "role").alias("qualified_name"), conv.alias("file"), F.col("turn").cast("int").alias("start_line"))
 
 
 def _refs(t: Tables) -> DataFrame:
     conv = F.col("conv_id").cast("string")
     name = F.concat(F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant"), (F.col("conv_id") % 11).cast("string"))
-    return t.conversations.filter("turn < 3").select(name.alias("name"), conv.alias("file"), F.col("turn").cast("int").alias("line"), F.concat(conv, F.lit(":"), F.col("turn").cast("string")).alias("parent_symbol"), F.lit("call").alias("kind"))
+    return t.conversations.select(name.alias("name"), conv.alias("file"), F.col("turn").cast("int").alias("line"), F.concat(conv, F.lit(":"), F.col("turn").cast("string")).alias("parent_symbol"), F.lit("call").alias("kind"))
 
 
 EDGES_SQL = f"""
@@ -621,7 +620,7 @@ def _(t):
 
 @query("change_set_union", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels")
 def _(t):
-    return t.documents.filter("doc_id % 3 = 0").select("doc_id").union(t.labels.select("doc_id")).distinct()
+    return t.documents.select("doc_id").union(t.labels.select("doc_id")).distinct()
 
 
 @query("symmetric_diff", "(SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
