@@ -413,7 +413,7 @@ def _(t):
 
 @query("redact_tokens", """SELECT doc_id, regexp_replace(text, '(?i)(?:jwt|token)[ ]*[=:][ ]*["'']?[A-Za-z0-9_.-]{20,}["'']?', 'token=[REDACTED]', 'g') AS text FROM documents WHERE contains(text, 'token')""")
 def _(t):
-    return t.documents.filter(F.col("text").contains("token")).select("doc_id", F.regexp_replace("text", "(?i)(?:jwt|token)[ ]*[=:][ ]*[\"']?[A-Za-z0-9_.-]{20,}[\"']?", "token=[REDACTED]").alias("text"))
+    return t.documents.select("doc_id", F.regexp_replace("text", "(?i)(?:jwt|token)[ ]*[=:][ ]*[\"']?[A-Za-z0-9_.-]{20,}[\"']?", "token=[REDACTED]").alias("text"))
 
 
 @query("redact_emails", "SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[REDACTED]', 'g') AS text FROM documents WHERE contains(text, '@')")
@@ -423,7 +423,7 @@ def _(t):
 
 @query("redact_secrets_chain")
 def _(t):
-    return t.documents.filter(F.col("text").rlike("(?i)token|secret|password|key")).select("doc_id", T.redact_secrets("text").alias("text"))
+    return t.documents.select("doc_id", T.redact_secrets("text").alias("text"))
 
 
 @query("secret_counts", "SELECT source, count(*) FILTER (regexp_matches(text, 'token = ')) AS tokens, count(*) FILTER (contains(text, '@')) AS mails FROM documents GROUP BY source")
