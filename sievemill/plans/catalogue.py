@@ -458,11 +458,7 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM do
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM w, unnest(range(1, len(w) - 1)) AS r(i))
 SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 20""")
 def _(t):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
-    d = t.documents.filter("doc_id < 100").select("doc_id", words.alias("w")).filter(F.size("w") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    s = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
-    return s.select(F.col("doc_id").alias("a"), "g").join(s.select(F.col("doc_id").alias("b"), "g"), "g").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 20")
+    return prep.shingle_overlap(t.documents)
 
 
 @query("lang_source_profile", "SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(n_chars), 6) AS mean FROM documents GROUP BY source, lang")
