@@ -11,6 +11,8 @@ one, in blocks of a bucket's members. Verified links make classes by connected c
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +31,8 @@ RARE = 0.2
 MAX_COUNTED = 1 << 21
 #: Bands that the finest buckets with hubs share.
 LEVELS = 2
+#: Rounds of components whose labels are composed in one plan.
+COMPOSED = 8
 #: Members of a bucket that meet another such block, or each other, in one group.
 BLOCK = 128
 _MASK = np.uint64((1 << 50) - 1)
@@ -270,9 +274,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Each round gives every hub ``b`` and its members the smallest of them, then every member the smallest of its hubs'.
     Where a member saw several, those labels are the edges of the next, far smaller round; labels are composed at the end.
+    Rounds go on until no edge is left: each joins at least one more node to a smaller one, a chain of rising names just one.
     """
     rounds = []
-    for i in range(60):
+    for i in count():
         least = scratch.put(edges.groupBy("b").agg(F.min("a").alias("m")), f"{name}-least-{i}")
         stars = edges.join(least, "b").select("a", F.least("b", "m").alias("m"))
         spread = stars.select(F.col("a").alias("n"), "m").union(least.select(F.col("b").alias("n"), F.least("b", "m").alias("m")))
@@ -284,9 +289,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if edges.isEmpty():
             break
     labels = rounds[-1]
-    for earlier in reversed(rounds[:-1]):
+    for i, earlier in enumerate(reversed(rounds[:-1]), 1):
         later = labels.select(F.col("node").alias("label"), F.col("label").alias("final"))
         labels = earlier.join(later, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+        if i % COMPOSED == 0:
+            labels = scratch.put(labels, f"{name}-labels-{i}")
     return labels
 
 

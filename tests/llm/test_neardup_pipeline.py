@@ -146,6 +146,11 @@ def test_components(spark):
     assert got == {**dict.fromkeys("abcdez", "a"), "x": "x", "y": "x"}
 
 
+def test_components_of_a_chain_of_rising_names(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(64)], "a string, b string").coalesce(1)
+    assert {r.label for r in nd.components(edges, Scratch(spark, "t"), "c").collect()} == {"n00"}
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """Documents with planted toxic, copied, near-copied and leaked rows among clean ones."""
