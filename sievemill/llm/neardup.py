@@ -1,7 +1,8 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five words; a text of fewer words, but not none, is one shingle. A shingle weighs its count in the text
-times its inverse document frequency over all distinct texts. Each text gets 64 consistent weighted samples;
+times its inverse document frequency, 1 + ln(texts / df) / ln(texts), where df is exact: the number of all distinct texts that
+hold it, counted for every shingle. Each text gets 64 consistent weighted samples;
 two texts agree in one with the probability of their weighted Jaccard similarity. Bands of four samples make
 buckets. In each bucket the member that shares most buckets is the hub, and every other member is verified against
 it by weighted Jaccard similarity; members of a bucket that ends up in several classes meet again in finer buckets
@@ -11,6 +12,7 @@ one, in blocks of a bucket's members. Verified links make classes by connected c
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import count
 
 import numpy as np
@@ -24,11 +26,12 @@ from .shared import ROW, SRC, Scratch, identified, split_rows, without_rows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Document frequencies below this share of all distinct texts count as this share: a shingle that is in fewer
-#: than one of five texts has the full weight, and at most 5 times a text's mean length of shingles lie above.
-RARE = 0.2
-#: Candidates of frequent shingles that one pass counts (8 bytes each are broadcast).
-MAX_COUNTED = 1 << 21
+#: Rows of a file that make a chunk, as a power of two; texts of at least ``LONG`` bytes are chunks of their own.
+CHUNK_ROWS, LONG = 11, 1 << 15
+#: A chunk's columns.
+CHUNK = [SRC, "_sm_near", "_sm_alone"]
+#: Shingles of one list, and entries that an owner gathers on average.
+LIST, OWNED = 1 << 22, 1 << 22
 #: Bands that the finest buckets with hubs share.
 LEVELS = 2
 #: Rounds of components whose labels are composed in one plan.
@@ -62,22 +65,49 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key[first] >> np.uint64(50)).astype(np.int64), key[first] & _MASK, np.diff(first, append=len(key))
 
 
-class Weights:
-    """Inverse document frequencies, 1 + ln(texts / frequency): the full weight but for frequent shingles."""
+def idf(df: np.ndarray, texts: int) -> np.ndarray:
+    """1 + ln(texts / df) / ln(texts): from 1 for a shingle of every text to 2 for one of a single text, at any size of corpus."""
+    return 1.0 + np.log(texts / df) / np.log(max(2, texts))
 
-    def __init__(self, texts: int, frequent: dict[int, int] | None = None):
-        frequent = frequent or {}
-        self.rare = 1 - np.log(RARE)
-        self.keys = np.array(sorted(frequent), np.uint64)
-        self.idf = np.array([1 + np.log(max(1.0, texts / max(1, frequent[k]))) for k in sorted(frequent)])
 
-    def of(self, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
-        out = count * self.rare
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, shingle), len(self.keys) - 1)
-            hit = self.keys[at] == shingle
-            out[hit] = count[hit] * self.idf[at[hit]]
-        return out
+def pack(values: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes each as the largest needs; the first byte says how many."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + raw.tobytes()
+
+
+def unpack(code: bytes) -> np.ndarray:
+    raw = np.frombuffer(code, np.uint8, offset=1).reshape(-1, code[0])
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : code[0]] = raw
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """The same for rising integers, by their gaps."""
+    return len(values[:1]).to_bytes(1, "little") + (int(values[0]).to_bytes(8, "little") + pack(np.diff(values)) if len(values) else b"")
+
+
+def unpack_sorted(code: bytes) -> np.ndarray:
+    if not code[0]:
+        return np.empty(0, np.uint64)
+    first = np.array([int.from_bytes(code[1:9], "little")], np.uint64)
+    return np.cumsum(np.concatenate([first, unpack(code[9:])]), dtype=np.uint64)
+
+
+def pack_frequencies(df: np.ndarray) -> bytes | None:
+    """A text's document frequencies in the order of its shingles: a bit for each, and a number for those above one."""
+    more = df > 1
+    return np.packbits(more).tobytes() + pack(df[more]) if more.any() else None
+
+
+def unpack_frequencies(code: bytes | None, n: int) -> np.ndarray:
+    df = np.ones(n, np.int64)
+    if code is not None:
+        size = -(-n // 8)
+        df[np.unpackbits(np.frombuffer(code, np.uint8, size))[:n].astype(bool)] = unpack(code[size:]).astype(np.int64)
+    return df
 
 
 def _gamma_table(bits: int = 16) -> np.ndarray:
@@ -132,22 +162,24 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def _vectors(column, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
+def _vectors(column, frequencies, texts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(sorted shingles, weights)`` of each text, whose document frequencies come with it."""
+    out, codes = [], frequencies.to_pylist()
     for lo, hi, buf, offsets in text_blocks(column):
         d, s, n = shingles(Words(buf, offsets))
-        w = weights.of(s, n)
         cuts = np.searchsorted(d, np.arange(hi - lo + 1))
-        out += [(s[a:b], w[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), lo):
+            out.append((s[a:b], n[a:b] * idf(unpack_frequencies(codes[i], int(b - a)), texts)))
     return out
 
 
 def _names(batches):
-    """Rows to the 128-bit name of their sequence of words; null without words."""
+    """Rows to the 128-bit name of their sequence of words, null without words, and the number of words."""
     for batch in batches:
-        names = []
+        names, sizes = [], []
         for lo, hi, buf, offsets in text_blocks(batch.column(batch.num_columns - 1)):
             w = Words(buf, offsets)
+            sizes += np.diff(w.bounds).tolist()
             # words parted by one blank: all bytes of words and the byte behind each
             low = np.append(w.low, np.uint8(32))
             keep = np.zeros(len(low) + 1, np.int8)
@@ -165,105 +197,147 @@ def _names(batches):
                 h = xxhash.xxh3_128(raw[int(spread[w.starts[a]]) : int(spread[w.ends[b - 1]])])
                 h.update(lengths[a:b].tobytes())
                 names.append(h.digest())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.binary())], names=[*batch.schema.names[:-1], "node"])
-
-
-#: Blocks of text whose shingles are counted together when candidates are sought.
-WINDOW = 8
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.binary()), pa.array(sizes, pa.int64())], names=[*batch.schema.names[:-1], "node", "n_words"])
 
 
-def _frequent_here(batches):
-    """Shingles in at least RARE of the texts of a window of about 8 MB: whatever is as frequent overall is so in some window."""
-    texts, held = 0, []
+def _lists(owners: int):
+    """Texts, in the order of their chunks, to messages: an owner's share of a chunk's sorted distinct shingles, with those of several texts."""
 
-    def found():
+    def message(key, held):
         s = np.sort(np.concatenate(held))
         first = np.flatnonzero(np.diff(s, prepend=~s[:1]))
-        often = s[first][np.diff(first, append=len(s)) >= RARE * texts]
-        return pa.RecordBatch.from_arrays([pa.array(often.astype(np.int64))], names=["s"])
+        s, n = s[first], np.diff(first, append=len(s))
+        own = ((s >> np.uint64(18)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(s))
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            more = np.flatnonzero(n[a:b] > 1)
+            rows.append((*key, int(own[a]), pack_sorted(s[a:b]), pack_sorted(more), pack(n[a:b][more])))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*CHUNK, "owner", "code", "places", "counts"])
 
-    for batch in batches:
-        for lo, hi, buf, offsets in text_blocks(batch.column(0)):
-            held.append(shingles(Words(buf, offsets))[1])
-            texts += hi - lo
-            if len(held) == WINDOW:
-                yield found()
-                texts, held = 0, []
-    if held:
-        yield found()
-
-
-def _counter(sent):
     def run(batches):
-        keys = sent.value
-        total = np.zeros(len(keys), np.int64)
+        last, held, size = None, [], 0
         for batch in batches:
-            for _, _, buf, offsets in text_blocks(batch.column(0)):
-                _, s, _ = shingles(Words(buf, offsets))
-                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                total += np.bincount(at[keys[at] == s], minlength=len(keys))
-        hit = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys[hit].astype(np.int64)), pa.array(total[hit])], names=["s", "n"])
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            for lo, hi, buf, offsets in text_blocks(batch.column(3)):
+                d, s, _ = shingles(Words(buf, offsets))
+                mine = keys[lo:hi]
+                begin = np.flatnonzero(np.append(True, (mine[1:] != mine[:-1]).any(1)))
+                cuts = np.searchsorted(d, np.append(begin, hi - lo))
+                for i, a, b in zip(begin.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    key = tuple(mine[i].tolist())
+                    if held and (key != last or size + b - a > LIST):
+                        yield message(last, held)
+                        held, size = [], 0
+                    last = key
+                    if b > a:
+                        held.append(s[a:b])
+                        size += b - a
+        if held:
+            yield message(last, held)
 
     return run
 
 
-def learn_weights(texts: DataFrame, n: int, scratch: Scratch) -> Weights:
-    """Exact document frequencies, over all ``texts``, of the shingles in at least RARE of them."""
-    found = scratch.put(texts.mapInArrow(_frequent_here, "s long").distinct(), "candidates")
-    size = found.count()
-    frequent: dict[int, int] = {}
-    blocks = -(-size // MAX_COUNTED)
-    for b in range(blocks):
-        mine = found if blocks == 1 else found.filter(F.pmod(F.xxhash64("s"), F.lit(blocks)) == b)
-        keys = np.sort(np.array([r.s for r in mine.toLocalIterator()], np.uint64))
-        sent = texts.sparkSession.sparkContext.broadcast(keys)
-        counted = texts.mapInArrow(_counter(sent), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-        # at most shingles / (RARE * n) of them: 5 times the mean number of shingles of a text
-        frequent |= {r.s: r.n for r in counted.filter(F.col("n") >= RARE * n).collect()}
-        sent.unpersist()
-    return Weights(n, frequent)
-
-
-def _signer(sent):
-    def run(batches):
-        sampler, weights = Sampler(), sent.value
-        for batch in batches:
-            keep, bands = [], []
-            for lo, hi, buf, offsets in text_blocks(batch.column(batch.num_columns - 1)):
-                d, s, n = shingles(Words(buf, offsets))
-                docs = np.unique(d)
-                if not len(docs):
-                    continue
-                got = sampler.sample(d, s, weights.of(s, n), docs).astype(np.uint64)
-                key = np.zeros((BANDS, len(docs)), np.uint64)
-                for j in range(ROWS):
-                    key = mix(key * _C[0] + got[j::ROWS] + _C[1])
-                bands.append(key.T)
-                keep.append(docs + lo)
-            at = pa.array(np.concatenate(keep) if keep else np.empty(0, np.int64))
-            flat = np.concatenate(bands).ravel().view(np.int64) if bands else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:-1]], lists], names=[*batch.schema.names[:-1], "bands"])
+def _frequencies(table: pa.Table) -> pa.Table:
+    """An owner's answers: to each list its shingles that more than one text holds, with the number of texts."""
+    lists = [unpack_sorted(c) for c in table.column("code").to_pylist()]
+    ends = np.cumsum([len(x) for x in lists])
+    count = np.ones(int(ends[-1]), np.int64)
+    for end, x, places, counts in zip(ends, lists, table.column("places").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        if places[0]:
+            count[end - len(x) + unpack_sorted(places).astype(np.int64)] = unpack(counts)
+    every = np.concatenate(lists)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+    total = np.add.reduceat(count[order], first)
+    df = np.empty(len(order), np.int64)
+    df[order] = np.repeat(total, np.diff(first, append=len(order)))
+    shared, found = [], []
+    for x, mine in zip(lists, np.split(df, ends[:-1]), strict=True):
+        more = mine > 1
+        shared.append(pack_sorted(x[more]))
+        found.append(pack(mine[more]))
+    return table.select(CHUNK).append_column("shared", pa.array(shared, pa.binary())).append_column("df", pa.array(found, pa.binary()))
+
+
+def _signer(texts: int):
+    """A chunk's texts and the frequencies of its shared shingles to ``(row, bands, frequencies)``."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sampler = _sampler()
+        known, df = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if right.num_rows:
+            known = np.concatenate([unpack_sorted(c) for c in right.column("shared").to_pylist()])
+            known, at = np.unique(known, return_index=True)
+            df = np.concatenate([unpack(c) for c in right.column("df").to_pylist()]).astype(np.int64)[at]
+        keep, bands, codes = [], [], []
+        for lo, hi, buf, offsets in text_blocks(left.column("low")):
+            d, s, n = shingles(Words(buf, offsets))
+            docs = np.unique(d)
+            if not len(docs):
+                continue
+            mine = np.ones(len(s), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                hit = known[at] == s
+                mine[hit] = df[at[hit]]
+            got = sampler.sample(d, s, n * idf(mine, texts), docs).astype(np.uint64)
+            key = np.zeros((BANDS, len(docs)), np.uint64)
+            for j in range(ROWS):
+                key = mix(key * _C[0] + got[j::ROWS] + _C[1])
+            bands.append(key.T)
+            keep.append(docs + lo)
+            codes += [pack_frequencies(x) for x in np.split(mine, np.searchsorted(d, docs[1:]))]
+        at = pa.array(np.concatenate(keep) if keep else np.empty(0, np.int64))
+        flat = np.concatenate(bands).ravel().view(np.int64) if bands else np.empty(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+        rows = [left.column(c).take(at) for c in (SRC, ROW)]
+        return pa.table([*rows, lists, pa.array(codes, pa.binary())], names=[SRC, ROW, "bands", "df"])
 
     return run
 
 
+@cache
+def _sampler() -> Sampler:
+    return Sampler()
+
+
+def signatures(texts: DataFrame, n: int, n_words: int, scratch: Scratch) -> DataFrame:
+    """``(_sm_src, _sm_row, bands, df)`` of ``texts (_sm_src, _sm_row, low)``, ``n`` distinct ones of ``n_words`` words together.
+
+    Document frequencies of all shingles are counted by exchange: chunks of texts send owners (ranges of shingles, some ``OWNED``
+    entries each) their sorted distinct shingles, and owners answer with those that more than one text holds and how many do; all others
+    are in one text only. Chunks are rows of one file, so texts are shuffled once, to meet the answers.
+    """
+    near = F.shiftright(ROW, CHUNK_ROWS)
+    alone = F.when(F.octet_length("low") >= LONG, F.col(ROW) + 1).otherwise(F.lit(0).cast("long"))
+    rows = texts.select(SRC, ROW, near.alias("_sm_near"), alone.alias("_sm_alone"), "low")
+    owners = max(1, -(-n_words // OWNED))
+    keys = ", ".join(f"{c} long" for c in CHUNK)
+    lists = rows.select(*CHUNK, "low").mapInArrow(_lists(owners), f"{keys}, owner int, code binary, places binary, counts binary")
+    answers = scratch.put(lists.groupBy("owner").applyInArrow(_frequencies, f"{keys}, shared binary, df binary"), "answers")
+    both = rows.groupBy(*CHUNK).cogroup(answers.groupBy(*CHUNK))
+    return both.applyInArrow(_signer(n), f"{SRC} long, {ROW} long, bands array<long>, df binary")
+
+
 #: Pairs whose vectors are in memory at a time.
 SLICE = 256
 
 
-def _verifier(sent):
+def _verifier(texts: int):
     def run(batches):
-        weights = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
-                a, b, text_a, text_b = whole.slice(at, SLICE).columns
+                a, b, text_a, text_b, df_a, df_b = whole.slice(at, SLICE).columns
                 names = b.to_pylist()
                 first = {x: i for i, x in reversed(list(enumerate(names)))}
                 take = sorted(first.values())
-                hubs = dict(zip((names[i] for i in take), _vectors(text_b.take(pa.array(take, pa.int64())), weights), strict=True))
-                score = [weighted_jaccard(x, hubs[y]) for x, y in zip(_vectors(text_a, weights), names, strict=True)]
+                few = pa.array(take, pa.int64())
+                hubs = dict(zip((names[i] for i in take), _vectors(text_b.take(few), df_b.take(few), texts), strict=True))
+                score = [weighted_jaccard(x, hubs[y]) for x, y in zip(_vectors(text_a, df_a, texts), names, strict=True)]
                 yield pa.RecordBatch.from_arrays([a, b, pa.array(score, pa.float64())], names=["a", "b", "similarity"])
 
     return run
@@ -306,21 +380,19 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
     last. Rows without a word (null and empty texts among them) are classes of their own. An empty table gives an
     empty result. Other columns, of any name, are not read.
     """
-    spark = docs.sparkSession
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     slim = scratch.put(
         docs.select(SRC, ROW, F.col(id_col).alias("doc_id"), low.alias("low")).mapInArrow(
-            _names, f"{SRC} long, {ROW} long, doc_id {docs.schema[id_col].dataType.simpleString()}, node binary"
+            _names, f"{SRC} long, {ROW} long, doc_id {docs.schema[id_col].dataType.simpleString()}, node binary, n_words long"
         ),
         "names",
     )
-    nodes = scratch.put(slim.filter("node is not null").groupBy("node").agg(F.min(F.struct(SRC, ROW)).alias("at")).select("node", f"at.{SRC}", f"at.{ROW}"), "nodes")
-    n = nodes.count()
+    named = slim.filter("node is not null").groupBy("node").agg(F.min(F.struct(SRC, ROW)).alias("at"), F.first("n_words").alias("n_words"))
+    nodes = scratch.put(named.select("node", f"at.{SRC}", f"at.{ROW}", "n_words"), "nodes")
+    n, n_words = nodes.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     only, _ = split_rows(docs.select(SRC, ROW, low.alias("low")), nodes.select(SRC, ROW), scratch, "node-bits")
-    weights = learn_weights(only.select("low"), n, scratch)
-    sent = spark.sparkContext.broadcast(weights)
-    signed = only.select(SRC, ROW, "low").mapInArrow(_signer(sent), f"{SRC} long, {ROW} long, bands array<long>")
-    signed = scratch.put(signed.join(nodes, [SRC, ROW]).select("node", SRC, ROW, "bands"), "signed")
+    signed = signatures(only, n, n_words, scratch)
+    signed = scratch.put(signed.join(nodes, [SRC, ROW]).select("node", SRC, ROW, "bands", "df"), "signed")
 
     members = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
     members = members.select("node", "band", F.xxhash64("band", "bucket").alias("bucket"))
@@ -343,7 +415,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
             break
         if texts is None:
             texts = _texts(docs, low, members, signed, scratch)
-        scored = scratch.put(_similar(pairs, texts, sent), f"scored-{level}")
+        scored = scratch.put(_similar(pairs, texts, n), f"scored-{level}")
         good = scored.filter(F.col("similarity") >= threshold).select("a", "b")
         links = good if links is None else links.union(good)
         if labels is None or not good.isEmpty():
@@ -360,7 +432,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
         members = scratch.put(finer.select("node", F.col("more_band").alias("band"), F.xxhash64("bucket", "more").alias("bucket"), "fame", "label"), f"members-{level + 1}")
 
     if labels is not None:
-        good = scratch.put(_rest(famed, first_hubs, labels, texts, signed, sent, threshold, scratch), "scored-rest").select("a", "b")
+        good = scratch.put(_rest(famed, first_hubs, labels, texts, signed, n, threshold, scratch), "scored-rest").select("a", "b")
         if not good.isEmpty():
             links = links.union(good)
             labels = scratch.put(components(links, scratch, "star-rest"), "labels-rest")
@@ -390,26 +462,25 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", id
 
 
 def _texts(docs: DataFrame, low, members: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, low)`` of the nodes that share a bucket, written once: only these texts are shuffled."""
-    wanted = members.select("node").distinct().join(signed.select("node", SRC, ROW), "node")
+    """``(node, low, df)`` of the nodes that share a bucket, written once: only these texts are shuffled again."""
+    wanted = members.select("node").distinct().join(signed.select("node", SRC, ROW, "df"), "node")
     rows, _ = split_rows(docs.select(SRC, ROW, low.alias("low")), wanted.select(SRC, ROW), scratch, "text-bits")
-    return scratch.put(rows.join(wanted, [SRC, ROW]).select("node", "low"), "texts")
+    return scratch.put(rows.join(wanted, [SRC, ROW]).select("node", "low", "df"), "texts")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, sent) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Similarity of each pair; a hub's text meets its members' in a skew-safe join."""
-    left = texts.select(F.col("node").alias("a"), F.col("low").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("low").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verifier(sent), "a binary, b binary, similarity double")
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("low").alias(f"text_{x}"), F.col("df").alias(f"df_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b", "df_a", "df_b")
+    return both.mapInArrow(_verifier(n), "a binary, b binary, similarity double")
 
 
-def _judge(sent, threshold: float):
+def _judge(texts: int, threshold: float):
     """All pairs of a group's two blocks (or its one) that are of different classes and meet in no earlier band."""
 
     def run(key, table):
         at, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        node, label, own, bands, low = (table.column(c).combine_chunks() for c in ("node", "label", "own", "bands", "low"))
+        node, label, own, bands, low, df = (table.column(c).combine_chunks() for c in ("node", "label", "own", "bands", "low", "df"))
         own, bands = own.to_numpy(), bands.flatten().to_numpy().reshape(len(node), BANDS)
         label = label.dictionary_encode().indices.to_numpy()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -421,7 +492,7 @@ def _judge(sent, threshold: float):
             need &= same if b == at else ~same
         a, b, score = [], [], []
         if need.any():
-            v = _vectors(low, sent.value)
+            v = _vectors(low, df, texts)
             right_s, right_w = (np.concatenate([v[y][k] for y in right]) for k in (0, 1))
             begin = np.cumsum([0, *[len(v[y][0]) for y in right[:-1]]])
             known, place = np.unique(right_s, return_inverse=True)
@@ -445,7 +516,7 @@ def _judge(sent, threshold: float):
     return run
 
 
-def _rest(members: DataFrame, hubs: DataFrame, labels: DataFrame, texts: DataFrame, signed: DataFrame, sent, threshold: float, scratch: Scratch) -> DataFrame:
+def _rest(members: DataFrame, hubs: DataFrame, labels: DataFrame, texts: DataFrame, signed: DataFrame, n: int, threshold: float, scratch: Scratch) -> DataFrame:
     """Links among the pairs that share a bucket, are of different classes and of which neither is the bucket's hub.
 
     The members of a bucket's largest class need not meet each other: blocks of the others meet all blocks, so a group has at most
@@ -464,7 +535,7 @@ def _rest(members: DataFrame, hubs: DataFrame, labels: DataFrame, texts: DataFra
     rows = left.join(sizes, "bucket").select("node", "band", "bucket", "label", own.alias("own"), meets.alias("meets"))
     rows = rows.join(texts, "node").join(signed.select("node", "bands"), "node").withColumn("other", F.explode("meets")).drop("meets")
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    return rows.groupBy("bucket", "band", "i", "j").applyInArrow(_judge(sent, threshold), "a binary, b binary, similarity double")
+    return rows.groupBy("bucket", "band", "i", "j").applyInArrow(_judge(n, threshold), "a binary, b binary, similarity double")
 
 
 def near_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -475,4 +546,4 @@ def near_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     return without_rows(rows, dropped, scratch, "near-bits")
 
 
-__all__ = ["Sampler", "Weights", "components", "near_dedup", "near_groups", "shingles", "weighted_jaccard"]
+__all__ = ["Sampler", "components", "idf", "near_dedup", "near_groups", "shingles", "weighted_jaccard"]
