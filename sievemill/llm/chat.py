@@ -86,7 +86,8 @@ def format_chat(
     Null text is empty. A null role and roles without a turn of their own use the fallback marker and make
     the conversation invalid, as does any step the machine lacks or a last state that is not final;
     ``error_turn`` is the first bad turn's place from 0, or the number of turns when only the end is bad.
-    A null conv_id is a conversation of its own. Invalid conversations are formatted all the same.
+    A row without a conv_id is a conversation of its own, so such rows are never gathered. A conversation is one row of the
+    result, so its turns meet in one task. Invalid conversations are formatted all the same.
     Other columns, of any name, are not read. An empty table gives no rows.
     """
     t = template
@@ -94,7 +95,8 @@ def format_chat(
         F.col(conv_col).alias("conv_id"),
         F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("row"),
     )
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    lone = rows.filter("conv_id is null").select("conv_id", F.array("row").alias("rows"))
+    grouped = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows")).unionByName(lone)
 
     def by_role(r: Column, known, other) -> Column:
         out = None
@@ -175,12 +177,19 @@ def loss_text(segments: Column) -> Column:
 
 
 def digest_columns(formatted: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
-    """The columns of the registered query, all read back from the formatted output."""
-    return formatted.select("conv_id", read_chat(F.col("formatted"), template).alias("turns"), loss_text(F.col("segments")).alias("loss"), "formatted").select(
+    """The columns of the registered query: turns and loss text read back from the formatted output, the machine's verdict, the flags."""
+    learned = [role for role, turn in template.turns.items() if turn.loss]
+    lossy = F.array_join(F.transform(F.filter("turns", lambda r: r["role"].isin(*learned)), lambda r: r["text"]), "")
+    flags = F.array_join(F.transform("segments", lambda s: F.when(s["loss"], "1").otherwise("0")), "")
+    back = formatted.select("conv_id", read_chat(F.col("formatted"), template).alias("turns"), "formatted", "segments", "valid", "error_turn")
+    return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda r: F.concat(F.coalesce(r["role"], F.lit("")), F.lit("\n"), r["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length(lossy).cast("long").alias("loss_chars"),
+        F.sha2(lossy, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.col("error_turn").cast("long").alias("error_turn"),
+        F.sha2(flags, 256).alias("flags_sha256"),
     )

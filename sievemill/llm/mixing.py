@@ -24,19 +24,20 @@ def source_rates(docs: DataFrame, *, text_col: str = "text", source_col: str = "
     """``(mix_source, rate)``: one row for each source; null is a source of its own.
 
     ``weights`` names targets (sources it lacks get 0); without it a source's target is its share of characters to
-    the power ``temperature``, normalised. ``epochs`` is the output's size over the input's. A source without
-    characters has rate 0 when weights are given by share, and its weight's share of ``epochs`` can't be met.
+    the power ``temperature``, normalised over the sources that have characters. ``epochs`` is the output's size over the input's. A source without
+    characters has no share at any rate, so its documents are drawn at the rate ``epochs`` unless ``weights`` gives it 0.
     """
     sizes = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.sum(F.length(F.coalesce(text_col, F.lit("")))).cast("double").alias("size"))
     if weights is None:
-        raw = F.pow("size", F.lit(float(temperature)))
+        raw = F.when(F.col("size") > 0, F.pow("size", F.lit(float(temperature)))).otherwise(1.0)
     else:
         raw = F.lit(0.0)
         for name, w in weights.items():
             raw = F.when(F.col("mix_source") == name, F.lit(float(w))).otherwise(raw)
     sized = sizes.withColumn("raw", raw)
-    totals = sized.agg(F.sum("size").alias("all_size"), F.sum("raw").alias("all_raw"))
-    rate = F.when((F.col("size") > 0) & (F.col("all_raw") > 0), F.lit(float(epochs)) * F.col("raw") / F.col("all_raw") * F.col("all_size") / F.col("size")).otherwise(0.0)
+    totals = sized.agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("size") > 0, F.col("raw"))).alias("all_raw"))
+    share = F.lit(float(epochs)) * F.col("raw") / F.col("all_raw") * F.col("all_size") / F.col("size")
+    rate = F.when(F.col("raw") <= 0, 0.0).when(F.col("size") > 0, share).otherwise(float(epochs))
     return sized.join(F.broadcast(totals)).select("mix_source", rate.alias("rate"))
 
 
@@ -73,7 +74,7 @@ def mix_sources(
     """Every column of ``docs`` plus ``copy`` (from 1) and ``mix_key``; rows in random order over all partitions.
 
     Rows that share an id (or have a null id) get the same count, for the draw depends on seed and id alone.
-    Null and empty texts have no size but are drawn at their source's rate. An empty table stays empty. Columns of
+    Null and empty texts have no size but are drawn at their source's rate (that of a source of only such texts is ``epochs``). An empty table stays empty. Columns of
     ``docs`` named ``copy`` or ``mix_key`` are replaced. The table of rates has a row for each source; it is written first and
     broadcast up to ``MAX_SOURCES`` rows (64 MB), else joined by sort-merge, where Spark splits a hot source.
     """
@@ -85,12 +86,11 @@ def mix_sources(
     table = scratch.put(table, "rates")
     table = F.broadcast(table) if table.count() <= MAX_SOURCES else table
     joined = docs.join(table, docs[source_col].eqNullSafe(F.col("_sm_mix")))
-    drawn = lambda i: F.size(F.filter("_sm_steps", lambda c: c <= uniform(F.lit(seed), F.col(id_col), i)))
-    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_sm_parts")), drawn), F.lit(0), lambda a, x: a + x)
+    # each number is hashed once for each part: it is the argument of the lambda that goes through the steps, not in its body
+    numbers = F.transform(F.sequence(F.lit(1), F.col("_sm_parts")), lambda i: uniform(F.lit(seed), F.col(id_col), i))
+    count = F.aggregate(numbers, F.lit(0), lambda a, u: a + F.size(F.filter("_sm_steps", lambda c: c <= u)))
     copies = (
-        joined.withColumn("_sm_count", count)
-        .filter("_sm_count > 0")
-        .select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_sm_count"))).alias("copy"))
+        joined.select(*[F.col(c) for c in docs.columns], F.explode(F.filter(F.sequence(F.lit(0), count), lambda k: k > 0)).alias("copy"))
         .withColumn("mix_key", F.md5(F.concat_ws("/", F.lit("order"), F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     )
     return copies.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
@@ -102,9 +102,9 @@ def oracle(weights: dict[str, float] | None = None, temperature: float = 0.5, ep
     return f"""
 WITH RECURSIVE sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
 rates AS (
-  SELECT source, {epochs!r}::DOUBLE * pow(size, {temperature!r}::DOUBLE) / (SELECT sum(pow(size, {temperature!r}::DOUBLE)) FROM sizes)
-    * (SELECT sum(size) FROM sizes) / size AS rate
-  FROM sizes WHERE size > 0),
+  SELECT source, CASE WHEN size > 0 THEN {epochs!r}::DOUBLE * pow(size, {temperature!r}::DOUBLE) / (SELECT sum(pow(size, {temperature!r}::DOUBLE)) FROM sizes WHERE size > 0)
+    * (SELECT sum(size) FROM sizes) / size ELSE {epochs!r}::DOUBLE END AS rate
+  FROM sizes),
 split AS (SELECT source, greatest(1, ceil(rate / {MAX_MEAN!r}::DOUBLE))::INT AS parts, rate / greatest(1, ceil(rate / {MAX_MEAN!r}::DOUBLE)) AS mean FROM rates),
 steps(source, k, p, c) AS (
   SELECT source, 0, exp(-mean), exp(-mean) FROM split

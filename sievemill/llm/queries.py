@@ -134,15 +134,23 @@ OP3_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS nth, lag(role) OVER w AS before,
+    length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/ROLE\]|/INST\]|/SYS\]|ROLE\]|INST\]|SYS\]|/s>|s>)', '\1\\\2', 'g'))
+    + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 END AS n
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text)),
 sized AS (
-  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/ROLE\]|/INST\]|/SYS\]|ROLE\]|INST\]|SYS\]|/s>|s>)', '\1\\\2', 'g'))
-    + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 END AS n FROM rows)
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(3 + sum(n) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+  SELECT *, CASE WHEN nth = 0 THEN role IN ('system', 'user') WHEN role = 'user' THEN before IN ('system', 'assistant') ELSE role = 'assistant' AND before = 'user' END AS ok FROM placed),
+grouped AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(3 + sum(n) AS BIGINT) AS formatted_chars,
+    coalesce(min(nth) FILTER (NOT coalesce(ok, false)), CASE WHEN arg_max(role, nth) <> 'assistant' THEN count(*) END) AS error_turn,
+    sha256('0' || string_agg(CASE WHEN role = 'assistant' THEN '010' ELSE '000' END, '' ORDER BY nth)) AS flags_sha256
+  FROM sized GROUP BY conv_id)
+SELECT *, error_turn IS NULL AS valid FROM grouped
 """
 
 OP4_SQL = r"""

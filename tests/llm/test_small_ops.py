@@ -73,11 +73,16 @@ def test_decontamination_against_brute_force(spark):
 
 
 PAYLOADS = ["<a>", None, "", "x WARC/1.1\r\n inside", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "<a>", "ü" * 1000, "end\r\n\r\n", "WARC/1.1\r\n" * 5, ""]
+_EMBEDDED = "WARC/1.1\r\nContent-Length: 2\r\n\r\nxy\r\n\r\n"
+PAYLOADS += [f"x WARC/1.1\r\nContent-Length: {n}\r\n\r\nabc" for n in (3_000_000_000, -5, 10**18, "9" * 40, "x")]
+PAYLOADS += [_EMBEDDED * 3, _EMBEDDED[:-4], "WARC/1.0\r\n\r\n", "WARC/1.", "WARC/1.7\r\nContent-Length: 0\r\n\r\n", "long " * 200_000, "p" * 300 + _EMBEDDED * 40]
 
 
-@pytest.mark.parametrize("split", ["134217728", "97"])
-def test_warc_round_trip(spark, split):
-    pages = spark.createDataFrame([(i, f"http://x/{i}\r\nBad: 1", p) for i, p in enumerate(PAYLOADS)] + [(None, None, "<a>")], "page_id long, url string, html string").withColumn("block", F.lit(1))
+@pytest.mark.parametrize(("split", "stretch"), [("134217728", 1 << 26), ("97", 64), ("5000", 700)])
+def test_warc_round_trip(spark, monkeypatch, split, stretch):
+    monkeypatch.setattr(warc, "STRETCH", stretch)
+    payloads = [p for p in PAYLOADS if split != "97" or len(p or "") < 2500]
+    pages = spark.createDataFrame([(i, f"http://x/{i}\r\nBad: 1", p) for i, p in enumerate(payloads)] + [(None, None, "<a>")], "page_id long, url string, html string").withColumn("block", F.lit(1))
     scratch = Scratch(spark, "t")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
@@ -89,10 +94,10 @@ def test_warc_round_trip(spark, split):
     import base64
 
     rows = {r.page_id: r for r in got}
-    assert len(got) == len(PAYLOADS) + 1
-    for i, p in [*enumerate(PAYLOADS), (None, "<a>")]:
+    assert len(got) == len(payloads) + 1
+    for i, p in [*enumerate(payloads), (None, "<a>")]:
         raw = (p or "").encode()
-        same = [j for j, q in enumerate(PAYLOADS) if (q or "") == (p or "")]
+        same = [j for j, q in enumerate(payloads) if (q or "") == (p or "")]
         assert rows[i].payload_bytes == len(raw) and rows[i].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
         kept = i == max(same)
         assert rows[i].record_type == ("response" if kept else "revisit") and rows[i].refers_to == (None if kept else max(same))
@@ -101,6 +106,31 @@ def test_warc_round_trip(spark, split):
     assert warc.read_warc(spark, empty.path("a"), empty).count() == 0
 
 
+def _warc(kind, block, version="1.0", head=""):
+    return f"WARC/{version}\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_warc_files_of_others(spark, tmp_path):
+    """Version 1.0, records that hold no HTTP, bytes that are no UTF-8, gzip, cut files, files that are no archives."""
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\xff\xfe</p>"
+    records = [_warc("warcinfo", b"software: x\r\n"), _warc("response", http, head="WARC-Page-ID: 7\r\nContent-Type: application/http; msgtype=response\r\n"), _warc("resource", b"WARC/1.0\r\n", "1.1")]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    with gzip.open(tmp_path / "b.warc.gz", "wb") as f:
+        f.write(b"".join(records))
+    (tmp_path / "cut.warc").write_bytes(records[0] + records[1][:-9])
+    (tmp_path / "shift.warc").write_bytes(b"junk" + records[0])
+    (tmp_path / "none.warc").write_bytes(b"no archive")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "nolength.warc").write_bytes(records[0] + b"WARC/1.0\r\nWARC-Type: response\r\n\r\nx\r\n\r\n" + records[1])
+    got = sorted((r.record_type, r.payload_bytes, r.page_id) for r in warc.read_warc(spark, str(tmp_path), Scratch(spark, "t")).collect())
+    whole = [("resource", 10, None), ("response", 9, 7), ("warcinfo", 13, None)]
+    assert [x for x in got if x[0] == "resource"] == whole[:1] * 2
+    assert [x for x in got if x[0] == "warcinfo"] == whole[2:] * 4
+    assert sorted(x for x in got if x[0] == "response" and x[2] == 7) == [("response", 4, 7), ("response", 9, 7), ("response", 9, 7)]
+
+
 TURNS = [(1, 0, "user", "hi \\ [INST] </s>"), (1, 1, "assistant", None), (2, 0, "assistant", "<s><s>s> [/INST"), (2, 0, "tool", "[ROLE] x\ny"), (3, 0, None, "\\"), (4, 1, "user", "a"), (4, 1, "user", "a"), (None, 0, "system", ""), (5, 0, "system", "s"), (5, 1, "user", "u"), (5, 2, "assistant", "long " * 30_000), (6, 0, "a\nb", "[\\INST]")]
 
 
@@ -114,6 +144,14 @@ def test_chat_round_trip(spark):
         assert rows[conv].loss == "".join(t[3] or "" for t in mine if t[2] == "assistant")
         assert "".join(s.text for s in rows[conv].segments) == rows[conv].formatted
     assert {c: (r.valid, r.error_turn) for c, r in rows.items()} == {1: (True, None), 2: (False, 0), 3: (False, 0), 4: (False, 1), None: (False, 1), 5: (True, None), 6: (False, 0)}
+    digest = chat.digest_columns(out)
+    assert "aggregate(" in digest._jdf.queryExecution().optimizedPlan().toString()  # the machine's fold
+    for r in digest.collect():
+        assert (r.valid, r.error_turn) == (rows[r.conv_id].valid, rows[r.conv_id].error_turn)
+        assert r.loss_sha256 == hashlib.sha256(rows[r.conv_id].loss.encode()).hexdigest()
+        assert r.flags_sha256 == hashlib.sha256("".join(str(int(s.loss)) for s in rows[r.conv_id].segments).encode()).hexdigest()
+    lone = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "b")], "conv_id long, turn long, role string, text string")
+    assert chat.format_chat(lone).count() == 2
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
@@ -194,12 +232,46 @@ def test_mixing(spark):
     n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
     assert abs(n["big"] / 2000 - 1) < 0.08 and abs(n["small"] / 2000 - 1) < 0.08 and None not in n
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy", "mix_key"]
+    assert n["void"] == 0 if "void" in n else True  # a weight of 0 leaves it out
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix_sources(df.repartition(7), weights={"big": 0.5, "small": 0.5}).collect()))
     many = mixing.mix_sources(df.filter("source = 'small'"), epochs=40.0)  # a mean above MAX_MEAN is a sum of draws
     assert abs(many.count() / 40_000 - 1) < 0.05
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_draws_as_plain_python_does(spark):
+    """Counts are the inverse Poisson distribution at numbers hashed from seed and id; sources without characters keep rate epochs."""
+    import math
+
+    rows = [(i, "x" * (1 + i % 7), "en", f"s{i % 3}", 0) for i in range(300)] + [(1000 + i, None if i % 2 else "", "en", "empty", 0) for i in range(40)] + [(None, "abc", None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    for epochs in (1.0, 50.0):
+        size = {}
+        for _, text, _, source, _ in rows:
+            size[source] = size.get(source, 0) + len(text or "")
+        roots, total = sum(math.sqrt(s) for s in size.values() if s), sum(size.values())
+        want = {}
+        for doc, _, _, source, _ in rows:
+            rate = epochs * math.sqrt(size[source]) / roots * total / size[source] if size[source] else epochs
+            parts, count = max(1, math.ceil(rate / 16)), 0
+            for i in range(1, parts + 1):
+                u = int(hashlib.md5(f"17/{'null' if doc is None else doc}/{i}".encode()).hexdigest()[:13], 16) / 2**52
+                p = c = math.exp(-rate / parts)
+                for k in range(1, 81):
+                    if c > u:
+                        break
+                    count += 1
+                    p *= rate / parts / k
+                    c += p
+            want[doc] = count
+        out = mixing.mix_sources(df, epochs=epochs)
+        assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {d: c for d, c in want.items() if c}
+        assert out.groupBy("doc_id", "copy").count().filter("count > 1").count() == 0
+        assert sum(want[1000 + i] for i in range(40)) > 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 4
+
+
 def test_ordinal_regression_orders_grades(spark):
     rng = random.Random(2)
     rows, grades = [], []
