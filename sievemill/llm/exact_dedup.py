@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ROW, SRC, Scratch, identified, split_rows, without_rows
+from .shared import ROW, SRC, Scratch, identified, set_aside, split_rows, without_rows
 
 #: Bits of a fingerprint beyond log2 of the rows: of N distinct texts, about N / 2**24 are suspected in vain.
 SPARE_BITS = 24
@@ -178,6 +178,7 @@ def base_rows(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def exact_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose text repeats that of a kept row (see ``exact_groups``); columns as they were."""
     scratch = Scratch(docs.sparkSession, "exact")
-    rows = identified(docs, scratch)
+    safe, restore = set_aside(docs)
+    rows = identified(safe, scratch)
     dropped = exact_groups(rows, scratch, text_col=text_col, id_col=id_col).filter("not kept").select(SRC, ROW)
-    return without_rows(rows, dropped, scratch, "dropped-bits")
+    return restore(without_rows(rows, dropped, scratch, "dropped-bits"))

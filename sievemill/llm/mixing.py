@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, set_aside
 
 #: A Poisson number of a larger mean is drawn as a sum of independent ones, so that exp(-mean) stays exact.
 MAX_MEAN = 16.0
@@ -79,7 +79,7 @@ def mix_sources(
     broadcast up to ``MAX_SOURCES`` rows (64 MB), else joined by sort-merge, where Spark splits a hot source.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    docs = docs.drop("copy", "mix_key")
+    docs, restore = set_aside(docs.drop("copy", "mix_key"))
     rates = source_rates(docs, text_col=text_col, source_col=source_col, weights=weights, temperature=temperature, epochs=epochs)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int")
     table = rates.filter("rate > 0").select(F.col("mix_source").alias("_sm_mix"), parts.alias("_sm_parts"), poisson_steps(F.col("rate") / parts).alias("_sm_steps"))
@@ -93,7 +93,7 @@ def mix_sources(
         joined.select(*[F.col(c) for c in docs.columns], F.explode(F.filter(F.sequence(F.lit(0), count), lambda k: k > 0)).alias("copy"))
         .withColumn("mix_key", F.md5(F.concat_ws("/", F.lit("order"), F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     )
-    return copies.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    return restore(copies.repartition(F.col("mix_key")).sortWithinPartitions("mix_key"))
 
 
 def oracle(weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17) -> str:

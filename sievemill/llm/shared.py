@@ -25,13 +25,15 @@ MAX_BITMAPS = 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a local one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="sievemill-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -73,6 +75,13 @@ class Scratch:
                 raise
 
 
+def set_aside(df: DataFrame):
+    """``df`` with columns whose names the operators use themselves under other names, and a function that gives those back."""
+    clash = [c for c in df.columns if c.lower().startswith("_sm_")]
+    other = {c: f"_set_aside_{i}_{c}" for i, c in enumerate(clash)}
+    return df.withColumnsRenamed(other), lambda d: d.withColumnsRenamed({v: k for k, v in other.items()})
+
+
 def identified(df: DataFrame, scratch: Scratch) -> DataFrame:
     """``df`` with ``_sm_src`` and ``_sm_row``. What is not a plain Parquet scan is written to ``scratch`` once."""
 

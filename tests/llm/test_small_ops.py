@@ -62,9 +62,11 @@ def test_decontamination_against_brute_force(spark):
     texts += ["- ".join(words(t)) + " tail" for _, t in items[:12]] + ["pre " + (t or "").upper() for _, t in items]
     df = docs_of(spark, texts, contamination="clash", hits=1)
     bench = spark.createDataFrame(items, "item_id long, text string")
+    df = df.withColumn("_sm_src", F.lit("clash")).withColumn("_sm_ids", F.lit("clash"))
     for limit in (decontam.MAX_BENCHMARK_BYTES, 100):  # one pass, and several
-        got = decontam.decontaminate(df, bench, max_benchmark_bytes=limit).collect()
-        assert len(got) == len(texts)
+        out = decontam.decontaminate(df, bench, max_benchmark_bytes=limit)
+        got = out.collect()
+        assert len(got) == len(texts) and out.columns == [*(c for c in df.columns if c != "contamination"), "contamination"]
         for r in got:
             c = r.contamination
             assert (c.n_words, c.n_hit, c.item_ids) == brute_hits(r.text, items), r.doc_id
@@ -72,6 +74,24 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_the_automaton_is_compact():
+    """Under 12 bytes for each byte of benchmark text, besides the shift table, whose size is bounded."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefghijkl", k=rng.randint(2, 9))) for _ in range(5000)]
+    items = [(i, " ".join(rng.choices(vocab, k=300))) for i in range(500)] + [(i, " ".join(rng.choices(vocab[:5], k=40))) for i in range(500, 520)]
+    m = decontam.WuManber(items)
+    text = sum(len(t) for _, t in items)
+    assert sum(x.nbytes() - x.shift.nbytes for x in m.lengths) + len(m.text) < 12 * text
+    assert all(x.shift.nbytes <= 1 << 24 for x in m.lengths)
+    docs = [" ".join(rng.choices(vocab[:5], k=400)) for _ in range(4)] + [items[3][1], "x " + items[7][1][100:900] + " y"]
+    at = 0
+    for n, hits, found, _, _ in m.scan(pa.array(docs)):
+        for d in range(len(n)):
+            assert (int(n[d]), int(hits[d]), sorted(found[d])) == brute_hits(docs[at], items)
+            at += 1
+    assert at == len(docs)
+
+
 PAYLOADS = ["<a>", None, "", "x WARC/1.1\r\n inside", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "<a>", "ü" * 1000, "end\r\n\r\n", "WARC/1.1\r\n" * 5, ""]
 _EMBEDDED = "WARC/1.1\r\nContent-Length: 2\r\n\r\nxy\r\n\r\n"
 PAYLOADS += [f"x WARC/1.1\r\nContent-Length: {n}\r\n\r\nabc" for n in (3_000_000_000, -5, 10**18, "9" * 40, "x")]
