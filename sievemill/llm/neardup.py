@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import Words, mix, text_blocks
-from .shared import ROW, SRC, Scratch, identified, split_rows, without_rows
+from .shared import ROW, SRC, Scratch, identified, set_aside, split_rows, without_rows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -31,7 +31,7 @@ CHUNK_ROWS, LONG = 11, 1 << 15
 #: A chunk's columns.
 CHUNK = [SRC, "_sm_near", "_sm_alone"]
 #: Shingles of one list, and entries that an owner gathers on average.
-LIST, OWNED = 1 << 22, 1 << 22
+LIST, OWNED = 1 << 22, 1 << 21
 #: Bands that the finest buckets with hubs share.
 LEVELS = 2
 #: Rounds of components whose labels are composed in one plan.
@@ -120,35 +120,53 @@ def _gamma_table(bits: int = 16) -> np.ndarray:
 
 
 class Sampler:
-    """Improved consistent weighted sampling; the variates of a shingle come from its hash through quantile tables."""
+    """Improved consistent weighted sampling; the variates of a shingle come from its hash through quantile tables.
+
+    In logarithms, a shingle of weight w has t = floor(ln w / r + beta) and a = ln c - r (t - beta + 1); the least a is the sample,
+    named by its shingle and t.
+    """
 
     def __init__(self, samples: int = BANDS * ROWS):
         x = _gamma_table()
-        self.r, self.inverse, self.log_c = x.astype(np.float32), (1 / x).astype(np.float32), np.log(x).astype(np.float32)
+        self.r, self.log_c = x.astype(np.float32), np.log(x).astype(np.float32)
         seeds = mix(np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.odd, self.add = seeds[:samples] | np.uint64(1), seeds[samples:]
 
     def sample(self, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """``(samples, len(docs))``: for each document of ``docs`` (those that have shingles) a 32-bit name of its sample."""
-        begin = np.searchsorted(doc, docs)
+        n, begin = len(shingle), np.searchsorted(doc, docs)
+        sizes = np.diff(begin, append=n)
         log_w = np.log(weight).astype(np.float32)
         out = np.empty((len(self.odd), len(docs)), np.uint32)
-        low16, low32 = np.uint64(0xFFFF), np.uint64(0xFFFFFFFF)
+        x, y = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        parts = x.view(np.uint16).reshape(n, 4)  # little-endian: parts[:, 3] is the top
+        at = np.empty(n, np.intp)
+        r, a, t, beta = (np.empty(n, np.float32) for _ in range(4))
         for i, (odd, add) in enumerate(zip(self.odd, self.add, strict=True)):
-            x = shingle * odd + add
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0xC4CEB9FE1A85EC53)
-            name = x ^ (x >> np.uint64(29))
-            ri = (x >> np.uint64(48)).astype(np.int64)
-            ci = ((x >> np.uint64(32)) & low16).astype(np.int64)
-            beta = ((x >> np.uint64(16)) & low16).astype(np.float32)
-            beta *= np.float32(1 / 65536)
-            t = np.floor(log_w * self.inverse[ri] + beta)
-            a = self.log_c[ci] - self.r[ri] * (t - beta + np.float32(1))
-            bits = a.view(np.uint32)
-            order = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-            name = (name + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1)) & low32
-            out[i] = np.minimum.reduceat((order << np.uint64(32)) | name, begin) & low32
+            np.multiply(shingle, odd, out=x)
+            np.add(x, add, out=x)
+            np.right_shift(x, np.uint64(31), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, np.uint64(0xC4CEB9FE1A85EC53), out=x)
+            at[:] = parts[:, 3]
+            np.take(self.r, at, out=r, mode="clip")
+            at[:] = parts[:, 2]
+            np.take(self.log_c, at, out=a, mode="clip")
+            beta[:] = parts[:, 1]
+            np.multiply(beta, np.float32(1 / 65536), out=beta)
+            np.divide(log_w, r, out=t)
+            np.add(t, beta, out=t)
+            np.floor(t, out=t)
+            np.subtract(t, beta, out=beta)
+            np.add(beta, np.float32(1), out=beta)
+            np.multiply(beta, r, out=beta)
+            np.subtract(a, beta, out=a)
+            least = np.minimum.reduceat(a, begin)
+            won = np.flatnonzero(a == np.repeat(least, sizes))
+            name = x[won] ^ (x[won] >> np.uint64(29))
+            name += t[won].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1)
+            # of equal a, the smallest name
+            out[i] = np.minimum.reduceat(name & np.uint64(0xFFFFFFFF), np.searchsorted(won, begin))
         return out
 
 
@@ -183,8 +201,8 @@ def _names(batches):
             # words parted by one blank: all bytes of words and the byte behind each
             low = np.append(w.low, np.uint8(32))
             keep = np.zeros(len(low) + 1, np.int8)
-            np.add.at(keep, w.starts, 1)
-            np.add.at(keep, w.ends, -1)
+            keep[w.starts] += 1  # no two words start, or end, at one byte
+            keep[w.ends] -= 1
             inside = np.cumsum(keep[:-1]) > 0
             spread = np.concatenate([[0], np.cumsum(inside)])
             raw = low[inside].tobytes()
@@ -541,9 +559,10 @@ def _rest(members: DataFrame, hubs: DataFrame, labels: DataFrame, texts: DataFra
 def near_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class (see ``near_groups``); columns as they were, texts not shuffled."""
     scratch = Scratch(docs.sparkSession, "near")
-    rows = identified(docs, scratch)
+    safe, restore = set_aside(docs)
+    rows = identified(safe, scratch)
     dropped = near_groups(rows, scratch, text_col=text_col, id_col=id_col, threshold=threshold).filter("not kept").select(SRC, ROW)
-    return without_rows(rows, dropped, scratch, "near-bits")
+    return restore(without_rows(rows, dropped, scratch, "near-bits"))
 
 
 __all__ = ["Sampler", "components", "idf", "near_dedup", "near_groups", "shingles", "weighted_jaccard"]
