@@ -30,14 +30,18 @@ def token_features(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tu
     np.cumsum(w.low.astype(np.uint64) * p[: len(w.low)], out=sums[1:])
     cut = np.minimum(w.ends, w.starts + 6)
     prefixes = mix((sums[cut] - sums[w.starts]) * q[w.starts] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)
-    shape = _SHAPE[buf]
-    runs = Words(_SHAPE_BYTES[shape] if len(buf) else buf, offsets, _SHAPE_TOKEN, IDENTITY)
-    marks = _run_hashes(runs)
+    marks, shape_doc = token_shapes(buf, offsets)
     shapes = mix(marks ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - bits)
-    shape_doc = runs.doc_of()
     return np.concatenate([words, prefixes, shapes]).astype(np.int64), np.concatenate([doc, doc, shape_doc])
 
 
+def token_shapes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(hash of the shape, document)`` of each blank-free token."""
+    shape = _SHAPE[buf]
+    runs = Words(_SHAPE_BYTES[shape] if len(buf) else buf, offsets, _SHAPE_TOKEN, IDENTITY)
+    return _run_hashes(runs), runs.doc_of()
+
+
 _SHAPE = np.full(256, 5, np.uint8)
 _SHAPE[97:123] = 1
 _SHAPE[128:] = 1

@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
-1. Voters: lexicons (lists of words), patterns (lists of word beginnings) and shape lists, learned from labelled rows and dealt
-   into many small lists; each votes "toxic" where one of its entries occurs and abstains elsewhere.
+1. Voters, each of one kind: lexicons (words), short and long patterns (word beginnings of four and six bytes), shapes of tokens. Their
+   entries are learned from labelled rows and grouped by the toxic rows they share; each kind and group makes a voter. A group has a
+   context, a common feature (in effect a language): its voters say "toxic" where their entries are dense, "clean" where the
+   context occurs without any of them, and abstain elsewhere.
 2. A generative label model, fitted by EM without looking at the labels, estimates how often each voter
-   fires in toxic and in clean texts, and from what the classes leave unexplained the voters' correlations; the
-   evidence of correlated voters is discounted by them.
-3. A linear classifier over hashed presence features is trained on the model's posteriors.
+   says "toxic" in toxic and in clean texts that it doesn't abstain from, and from what the classes leave unexplained the voters' correlations,
+   within and between kinds; the evidence of correlated voters is discounted by them. The share of toxic texts is given.
+3. A linear classifier over hashed features, each as present and by its density, is trained on the model's posteriors.
 """
 
 from __future__ import annotations
@@ -18,17 +20,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytesops import text_blocks
-from .linear import rows_of, sigmoid
+from .bytesops import Words, mix, powers, text_blocks
+from .linear import sigmoid, token_shapes
 from .shared import Scratch
 
 #: Labelled rows that are fitted on at most: those with the smallest hash of their id.
 MAX_FIT_ROWS = 12000
+#: Bits of a feature; the top two say its kind.
 BITS = 22
-#: Features whose counts by label are told apart by less than this chi-square are left out before anything is collected.
+KINDS = ("word", "short", "long", "shape")
+#: Features whose counts by label are told apart by less than this chi-square say nothing about the label: they are left out before anything is collected.
 CHI_SQUARE = 9.0
-#: Voters, and entries of all voters at most.
-VOTERS, ENTRIES = 40, 400
+#: The most common features, from which contexts are taken; a context covers this share of its group's toxic rows.
+COMMON, COVER = 2000, 0.9
+#: The context of a group that no common feature covers: every row.
+ANY = -1
+#: Groups of entries; an entry joins a group that shares half of its toxic rows.
+GROUPS, SHARED = 16, 0.5
+#: Rows by which a correlation is shrunk.
+FEW = 50
+#: Weight of recall against precision in the decision: a clean document lost counts twice a toxic one kept.
+BETA = 0.5
+
+
+def features_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, feature, count for each word of the document)``, one entry for each feature of a document."""
+    w, low = Words(buf, offsets), np.uint64(64 - BITS + 2)
+    p, q = powers(len(w.low) + 1)
+    sums = np.zeros(len(w.low) + 1, np.uint64)
+    np.cumsum(w.low.astype(np.uint64) * p[: len(w.low)], out=sums[1:])
+    cut = lambda n, salt: mix((sums[np.minimum(w.ends, w.starts + n)] - sums[w.starts]) * q[w.starts] ^ np.uint64(salt))
+    shapes, shape_doc = token_shapes(buf, offsets)
+    kinds = [w.hashes, cut(4, 0x94D049BB133111EB), cut(6, 0x5851F42D4C957F2D), mix(shapes ^ np.uint64(0x2545F4914F6CDD1D))]
+    feature = np.concatenate([(h >> low).astype(np.int64) | (k << (BITS - 2)) for k, h in enumerate(kinds)])
+    doc = np.concatenate([w.doc_of()] * 3 + [shape_doc])
+    key = (doc << BITS) | feature
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    of = key[first] >> BITS
+    return of, key[first] & ((1 << BITS) - 1), np.diff(first, append=len(key)) / np.maximum(np.diff(w.bounds), 1)[of]
+
+
+def design(row: np.ndarray, index: np.ndarray, density: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, column, value)`` for the classifier: presence, and from column 2**BITS on the density, by ``_dense``."""
+    return np.concatenate([row, row]), np.concatenate([index, index + (1 << BITS)]), np.concatenate([np.ones(len(row)), _dense(density)])
+
+
+def _dense(density: np.ndarray) -> np.ndarray:
+    """Grows with the logarithm up to one word in twenty; more says no more."""
+    return np.log1p(100 * np.minimum(density, 0.05))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -38,7 +78,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 @dataclass
 class LabelModel:
-    """P(voter fires | toxic), P(voter fires | clean), the share of toxic texts and the voters' correlations."""
+    """Of voters that don't abstain: P("toxic" | toxic), P("toxic" | clean); the share of toxic texts; the voters' correlations."""
 
     hit: np.ndarray
     noise: np.ndarray
@@ -46,38 +86,50 @@ class LabelModel:
     correlation: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Votes are 1 (toxic), 0 (clean) and -1 (abstains)."""
         fires = np.log(self.hit) - np.log(self.noise)
         still = np.log1p(-self.hit) - np.log1p(-self.noise)
         discount = 1.0 / (1.0 + self.correlation.sum(1))
-        return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ (fires * discount) + (1 - votes) @ (still * discount))
+        return sigmoid(np.log(self.prior / (1 - self.prior)) + (votes == 1) @ (fires * discount) + (votes == 0) @ (still * discount))
 
 
 def fit_label_model(votes: np.ndarray, prior: float, *, rounds: int = 40) -> LabelModel:
-    """EM over binary votes; correlations are re-estimated in each round from residuals given the posterior."""
+    """EM over three-valued votes, the share of toxic texts fixed.
+
+    Voters count as independent until EM has settled; what is left in their votes then gives their correlations. Estimated from the start,
+    correlations would explain the classes away.
+    """
     n, v = votes.shape
     prior = float(np.clip(prior, 1e-3, 0.999))
     if not n or not v:
         return LabelModel(np.full(v, 0.5), np.full(v, 0.5), prior, np.zeros((v, v)))
-    post = np.where(votes.any(1), 0.9, 0.01)
-    model = None
+    said, yes = (votes >= 0).astype(float), (votes == 1).astype(float)
+    post, model = np.where((votes == 1).any(1), 0.9, 0.01), None
     for _ in range(rounds):
-        toxic, clean = post.sum(), (1 - post).sum()
-        hit = (votes.T @ post + 0.5) / (toxic + 1.0)
-        noise = (votes.T @ (1 - post) + 0.05) / (clean + 1.0)
+        hit = (yes.T @ post + 0.5) / (said.T @ post + 1.0)
+        noise = (yes.T @ (1 - post) + 0.05) / (said.T @ (1 - post) + 1.0)
         hit = np.maximum(hit, np.minimum(0.999, 1.5 * noise))  # a voter's polarity is known
-        mean = post[:, None] * hit + (1 - post)[:, None] * noise
-        rest = votes - mean
-        cov = rest.T @ rest / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        correlation = np.clip(cov / np.outer(sd, sd), 0, 1)
-        correlation[correlation < 0.1] = 0
-        np.fill_diagonal(correlation, 0)
-        model = LabelModel(np.clip(hit, 1e-4, 0.9999), np.clip(noise, 1e-5, 0.9999), float(np.clip(toxic / n, 1e-3, 0.999)), correlation)
+        model = LabelModel(np.clip(hit, 1e-4, 0.9999), np.clip(noise, 1e-5, 0.9999), prior, np.zeros((v, v)))
         now = model.posterior(votes)
         if np.abs(now - post).max() < 1e-6:
             break
         post = now
-    return model
+    rest = said * (yes - post[:, None] * model.hit - (1 - post)[:, None] * model.noise)
+    sd = np.sqrt(np.maximum((rest * rest).T @ said, 1e-9))  # of each voter, over the rows that the other speaks on too
+    both = said.T @ said
+    correlation = np.clip(rest.T @ rest / (sd * sd.T), 0, 1) * both / (both + FEW)  # shrunk where few rows tell
+    correlation[correlation < 0.1] = 0
+    np.fill_diagonal(correlation, 0)
+    return LabelModel(model.hit, model.noise, prior, correlation)
+
+
+@dataclass
+class Voter:
+    kind: str
+    context: int
+    entries: np.ndarray
+    #: From this density of its entries on it votes "toxic": half the median of toxic rows that have any.
+    least: float = 0.0
 
 
 @dataclass
@@ -88,30 +140,98 @@ class ToxicityModel:
     label_model: LabelModel | None = None
 
     def scores(self, column) -> np.ndarray:
-        table = np.zeros(1 << BITS, np.float32)
-        table[self.index] = self.weights
+        # weights of presence and of density beside each other, by feature
+        features = np.unique(self.index & ((1 << BITS) - 1)).astype(np.int64)
+        known, table = np.zeros(1 << BITS, np.int32), np.zeros((len(features) + 1, 2))
+        known[features] = np.arange(1, len(features) + 1)
+        table[known[self.index & ((1 << BITS) - 1)], (self.index >> BITS).astype(np.int64)] = self.weights
         out = []
         for lo, hi, buf, offsets in text_blocks(column):
-            d, i, _ = rows_of(buf, offsets, BITS)
-            out.append(sigmoid(self.bias + np.bincount(d, table[i], hi - lo)))
+            d, i, density = features_of(buf, offsets)
+            at = known[i]
+            on = at > 0
+            w = table[at[on]]
+            out.append(sigmoid(self.bias + np.bincount(d[on], w[:, 0] + w[:, 1] * _dense(density[on]), hi - lo)))
         return np.concatenate(out) if out else np.empty(0)
 
 
-def learn_voters(row: np.ndarray, index: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Lists of feature buckets that occur far more often in toxic rows, dealt round by strength so that lists are alike."""
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+def group_entries(holds: np.ndarray) -> np.ndarray:
+    """The group of each entry (strongest first); ``holds[e, r]`` tells which toxic rows hold it."""
+    rows: list[np.ndarray] = []
+    out = np.empty(len(holds), np.int64)
+    for e, mine in enumerate(holds):
+        share = [float((mine & r).sum() / mine.sum()) for r in rows]
+        best = int(np.argmax(share)) if rows else -1
+        if best < 0 or (share[best] < SHARED and len(rows) < GROUPS):
+            rows.append(mine.copy())
+            best = len(rows) - 1
+        else:
+            rows[best] |= mine
+        out[e] = best
+    return out
+
+
+def learn_voters(row: np.ndarray, index: np.ndarray, density: np.ndarray, y: np.ndarray, common: np.ndarray) -> list[Voter]:
+    """Voters of features that occur far more often in toxic rows; grouped (see ``group_entries``)."""
+    n, n1 = len(y), max(1, int(y.sum()))
+    n0 = max(1, n - int(y.sum()))
     used, at = np.unique(index, return_inverse=True)
-    k1 = np.bincount(at, y[row], len(used))
-    k0 = np.bincount(at, 1 - y[row], len(used))
+    k1, k0 = np.bincount(at, y[row], len(used)), np.bincount(at, 1 - y[row], len(used))
     odds = np.log((k1 + 0.1) / (n1 + 0.2)) - np.log((k0 + 0.1) / (n0 + 0.2))
-    # what chance makes of that many features: at least three toxic rows, and mostly toxic
-    good = np.flatnonzero((k1 >= 3) & (odds > np.log(8)) & (k1 > 4 * k0))
-    strength = odds[good] * np.sqrt(k1[good])
-    chosen = used[good[np.argsort(-strength, kind="stable")][:ENTRIES]]
-    return [v for v in (np.sort(chosen[i::VOTERS]) for i in range(VOTERS)) if len(v)]
-
-
-def fit_classifier(row, index, target: np.ndarray, n: int, *, rounds: int = 200, penalty: float = 3.0, rate: float = 0.3):
+    # what chance makes of that many features: at least three toxic rows, and far beyond a random share of them
+    good = np.flatnonzero((k1 >= 3) & (odds > np.log(4)) & (odds * np.sqrt(k1) > 4))
+    if not len(good):
+        return []
+    good = good[np.argsort(-(odds * np.sqrt(k1))[good], kind="stable")]
+    order = np.argsort(at, kind="stable")
+    begin = np.searchsorted(at[order], np.arange(len(used) + 1))
+    toxic = np.flatnonzero(y > 0)
+    nth = np.full(n, -1)
+    nth[toxic] = np.arange(len(toxic))
+    holds = np.zeros((len(good), len(toxic)), bool)
+    for e, g in enumerate(good):
+        mine = nth[row[order[begin[g] : begin[g + 1]]]]
+        holds[e, mine[mine >= 0]] = True
+    of, kind = group_entries(holds), used[good] >> (BITS - 2)
+    has = np.zeros((n, len(common)), bool)
+    on = np.isin(index, common)
+    if len(common):
+        has[row[on], np.searchsorted(common, index[on])] = True
+    width, voters = has.mean(0), []
+    for g in range(int(of.max()) + 1):
+        cover = has[toxic[holds[of == g].any(0)]].mean(0)
+        fit = np.flatnonzero(cover >= COVER)
+        context = int(common[fit[width[fit].argmin()]]) if len(fit) else ANY
+        for k, name in enumerate(KINDS):
+            own = used[good[(kind == k) & (of == g)]]
+            if len(own):
+                v = Voter(name, context, np.sort(own))
+                dense = _density(v, row, index, density, n)[toxic]
+                v.least = float(np.median(dense[dense > 0])) / 2
+                voters.append(v)
+    return voters
+
+
+def _density(v: Voter, row: np.ndarray, index: np.ndarray, density: np.ndarray, n: int) -> np.ndarray:
+    on = np.isin(index, v.entries)
+    return np.bincount(row[on], density[on], n)
+
+
+def cast_votes(voters: list[Voter], row: np.ndarray, index: np.ndarray, density: np.ndarray, n: int) -> np.ndarray:
+    """1 (toxic), 0 (clean) or -1 (abstains) of each voter for each row."""
+    votes = np.full((n, len(voters)), -1, np.int8)
+    where: dict[int, np.ndarray] = {}
+    for j, v in enumerate(voters):
+        if v.context not in where:
+            where[v.context] = row[index == v.context] if v.context != ANY else np.arange(n)
+        dense = _density(v, row, index, density, n)
+        votes[where[v.context], j] = 0
+        votes[dense > 0, j] = -1
+        votes[dense >= v.least, j] = 1
+    return votes
+
+
+def fit_classifier(row, index, value, target: np.ndarray, n: int, *, rounds: int = 1000, penalty: float = 1.0, rate: float = 0.3):
     """Logistic regression on soft targets with an L1 prior: proximal AdaGrad over the features that can leave zero.
 
     ``penalty`` is the prior's weight in documents: a feature whose documents the other features explain to within
@@ -120,15 +240,15 @@ def fit_classifier(row, index, target: np.ndarray, n: int, *, rounds: int = 200,
     share = float(np.clip(target.mean() if n else 0.0, 1e-3, 0.999))
     bias, l1 = float(np.log(share / (1 - share))), penalty / max(1, n)
     used, at = np.unique(index, return_inverse=True)
-    pull = np.abs(np.bincount(at, (share - target)[row], len(used))) / max(1, n)
+    pull = np.abs(np.bincount(at, value * (share - target)[row], len(used))) / max(1, n)
     on = pull > l1  # the others' gradient is below the prior's from the start
     keep = on[at]
     place = np.cumsum(on) - 1
-    used, row, at = used[on], row[keep], place[at[keep]]
+    used, row, at, value = used[on], row[keep], place[at[keep]], value[keep]
     w, gw, gb = np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds if n else 0):
-        g = (sigmoid(bias + np.bincount(row, w[at], n)) - target) / n
-        grad, g_bias = np.bincount(at, g[row], len(used)), g.sum()
+        g = (sigmoid(bias + np.bincount(row, value * w[at], n)) - target) / n
+        grad, g_bias = np.bincount(at, value * g[row], len(used)), g.sum()
         gw += grad * grad
         gb += g_bias * g_bias
         step = rate / np.sqrt(gw)
@@ -148,58 +268,69 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col="text", id_col=
     chosen = chosen.orderBy(F.md5(F.col("_sm_id").cast("string")), "_sm_id", "_sm_y").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("_sm_id"), F.coalesce(text_col, F.lit("")).alias("_sm_text")).join(F.broadcast(chosen), "_sm_id")
     scratch = Scratch(docs.sparkSession, "toxicity")
-    made = scratch.put(rows.select("_sm_text", "_sm_y").mapInArrow(_features, "i array<int>, y double"), "features")
+    made = scratch.put(rows.select("_sm_text", "_sm_y").mapInArrow(_features, "i array<int>, v array<float>, y double"), "features")
     n, n1 = made.agg(F.count("*"), F.sum("y")).first()
     share = (n1 or 0.0) / max(1, n)
-    counts = made.select(F.explode("i").alias("f"), "y").groupBy("f").agg(F.count("*").alias("k"), F.sum("y").alias("k1"))
+    counts = scratch.put(made.select(F.explode("i").alias("f"), "y").groupBy("f").agg(F.count("*").alias("k"), F.sum("y").alias("k1")), "counts")
     surplus = F.col("k1") - share * F.col("k")
     told = counts.filter((surplus * surplus > CHI_SQUARE * share * (1 - share) * F.col("k")) & (F.abs(surplus) > 2)).select("f")
-    features = np.sort(np.array([r.f for r in told.collect()], np.int32))
-    got = made.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(features)), "i binary, y double").collect()
+    common = np.sort(np.array([r.f for r in counts.filter(F.col("k") < 0.95 * n).orderBy(F.desc("k"), "f").limit(COMMON).collect()], np.int32))
+    told = np.sort(np.array([r.f for r in told.collect()], np.int32))
+    features = np.union1d(told, common)
+    got = made.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(features)), "i binary, v binary, y double").collect()
     index = [np.frombuffer(r.i, np.int32) for r in got]
     indptr = np.concatenate([[0], np.cumsum([len(i) for i in index])]).astype(np.int64)
-    return fit_from_features(indptr, np.concatenate([*index, np.empty(0, np.int32)]).astype(np.int64), np.array([r.y for r in got], float))
+    value = np.concatenate([*[np.frombuffer(r.v, np.float32) for r in got], np.empty(0, np.float32)])
+    return fit_from_features(indptr, np.concatenate([*index, np.empty(0, np.int32)]).astype(np.int64), value, np.array([r.y for r in got], float), common.astype(np.int64), told.astype(np.int64))
 
 
 def _features(batches):
     for batch in batches:
         lists: list[np.ndarray] = []
+        values: list[np.ndarray] = []
         for lo, hi, buf, offsets in text_blocks(batch.column(0)):
-            d, i, _ = rows_of(buf, offsets, BITS)
-            lists += np.split(i.astype(np.int32), np.searchsorted(d, np.arange(1, hi - lo)))
-        yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1)], names=["i", "y"])
+            d, i, v = features_of(buf, offsets)
+            cuts = np.searchsorted(d, np.arange(1, hi - lo))
+            lists += np.split(i.astype(np.int32), cuts)
+            values += np.split(v.astype(np.float32), cuts)
+        yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), batch.column(1)], names=["i", "v", "y"])
 
 
 def _chosen(sent):
     def run(batches):
         for batch in batches:
-            lists = [x.to_numpy(zero_copy_only=False) if len(x) else np.empty(0, np.int32) for x in (v.values for v in batch.column(0))]
-            kept = [np.ascontiguousarray(x[np.isin(x, sent.value)], dtype=np.int32).tobytes() for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column(1)], names=["i", "y"])
+            index, value = [], []
+            for x, v in zip(batch.column(0), batch.column(1), strict=True):
+                i = np.asarray(x.values.to_numpy(zero_copy_only=False) if len(x) else np.empty(0), np.int32)
+                on = np.isin(i, sent.value)
+                index.append(i[on].tobytes())
+                value.append(np.asarray(v.values.to_numpy(zero_copy_only=False) if len(v) else np.empty(0), np.float32)[on].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(index, pa.binary()), pa.array(value, pa.binary()), batch.column(2)], names=["i", "v", "y"])
 
     return run
 
 
-def fit_from_features(indptr: np.ndarray, index: np.ndarray, y: np.ndarray) -> ToxicityModel:
+def fit_from_features(indptr: np.ndarray, index: np.ndarray, density: np.ndarray, y: np.ndarray, common: np.ndarray, told: np.ndarray) -> ToxicityModel:
     n = len(y)
     if not n:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0, np.float32), -5.0)
     row = np.repeat(np.arange(n), np.diff(indptr))
-    voters = learn_voters(row, index, y)
-    votes = np.zeros((n, len(voters)))
-    for j, entries in enumerate(voters):
-        votes[row[np.isin(index, entries)], j] = 1
+    voters = learn_voters(row, index, density, y, np.setdiff1d(common, told))
+    votes = cast_votes(voters, row, index, density, n)
     label_model = fit_label_model(votes, float(y.mean()))
     target = label_model.posterior(votes) if voters else np.full(n, float(y.mean()))
-    used, weights, bias = fit_classifier(row, index, target, n)
-    # the bias is put where the classifier parts the posteriors best, so that 0.5 is the decision
-    table = dict(zip(used.tolist(), weights.tolist(), strict=True))
-    z = np.bincount(row, np.array([table.get(i, 0.0) for i in index.tolist()]), n)
+    on = np.isin(index, told)  # the classifier sees what the labels tell apart; common features are for contexts
+    row, column, value = design(row[on], index[on], density[on])
+    used, weights, bias = fit_classifier(row, column, value, target, n)
+    # the bias is put where the classifier parts the labels of the fit rows best (by F-measure, precision weighing BETA), so that 0.5 is the decision
+    table = np.zeros(2 << BITS)
+    table[used] = weights
+    z = np.bincount(row, table[column] * value, n)
     order = np.argsort(-z, kind="stable")
-    hard = target[order] > 0.5
-    if hard.any():
+    hard = y[order] > 0.5
+    if hard.any() and len(used):
         found = np.cumsum(hard)
-        f1 = 2 * found / (np.arange(1, n + 1) + hard.sum())
+        f1 = (1 + BETA**2) * found / (np.arange(1, n + 1) + BETA**2 * hard.sum())
         last = np.append(z[order][1:] != z[order][:-1], True)  # ties stay together
         f1 = np.where(last, f1, -1)
         k = int(np.argmax(f1))

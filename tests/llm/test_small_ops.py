@@ -336,6 +336,54 @@ def test_label_model_finds_accuracies():
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.95
 
 
+def test_label_model_with_voters_that_abstain():
+    """Two groups of voters, each speaking on half of the rows: one's silence is no evidence about the other's rows."""
+    rng = np.random.default_rng(3)
+    y, half = rng.random(4000) < 0.15, np.arange(4000) % 2
+    votes = np.full((4000, 6), -1)
+    for j in range(6):
+        mine = half == j // 3
+        votes[mine, j] = rng.random(mine.sum()) < np.where(y[mine], 0.8, 0.03)
+    m = toxicity.fit_label_model(votes, 0.15)
+    assert np.abs(m.hit - 0.8).max() < 0.08 and np.abs(m.noise - 0.03).max() < 0.03
+    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.97
+    silent = m.posterior(np.full((1, 6), -1))
+    assert abs(silent[0] - m.prior) < 1e-9
+
+
+def test_voters_are_of_one_kind_and_context():
+    """Words of two languages: entries are grouped by the toxic rows they share, and each group speaks in its own language only."""
+    rng = random.Random(7)
+    texts, y = [], []
+    for i in range(1200):
+        lang, toxic = i % 2, i % 10 in (3, 4)
+        words_ = rng.choices([f"{'ab'[lang]}word{k}" for k in range(60)], k=50) + ["the" if lang else "und"] * 3
+        texts.append(" ".join(words_ + (rng.sample([["vile", "scum", "filth"], ["mist", "dreck", "pack"]][lang], 2) if toxic else [])))
+        y.append(float(toxic))
+    lists = [toxicity.features_of(buf, offsets) for _, _, buf, offsets in text_blocks(pa.array(texts))]
+    assert len(lists) == 1
+    row, index, density = lists[0]
+    used, n = np.unique(index, return_counts=True)
+    common = used[(n > 100) & (n < 1100)]
+    voters = toxicity.learn_voters(row, index, density, np.array(y), common)
+    assert {v.kind for v in voters} >= {"word", "short"} and len({v.context for v in voters}) >= 2
+    votes = toxicity.cast_votes(voters, row, index, density, 1200)
+    assert (np.unique(votes) == [-1, 0, 1]).all()
+    model = toxicity.fit_label_model(votes, float(np.mean(y)))
+    assert ((model.posterior(votes) > 0.5) == np.array(y, bool)).mean() > 0.98
+
+
+def test_held_out_recall_and_precision_on_the_test_tables(spark):
+    """At sf0.1: most held-out toxic rows are found, hardly a clean one is taken."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    scored = toxicity.score_toxicity(docs.filter(toxicity.held_out()).select("doc_id", "text"), model).join(labels, "doc_id")
+    n = {(r.toxic, r.toxic_predicted): r["count"] for r in scored.groupBy("toxic", "toxic_predicted").count().collect()}
+    found, missed, false = n.get((1, 1), 0), n.get((1, 0), 0), n.get((0, 1), 0)
+    assert found / (found + missed) > 0.85 and found / (found + false) > 0.95
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(4)
     plain, bad = [f"w{i}" for i in range(200)], ["vile", "scum", "filth"]
