@@ -46,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, block: int = BLOCK, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` of runs of whole documents of about ``block`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -62,7 +62,7 @@ def text_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + block, "right")) - 1)
-        hi = min(hi, n, lo + BLOCK_ROWS)
+        hi = min(hi, n, lo + rows)
         yield lo, hi, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

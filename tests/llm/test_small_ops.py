@@ -324,6 +324,63 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict_language(df, nothing).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Letter n-grams of one to three letters with marks, from characters alone."""
+    import unicodedata
+    from collections import Counter
+
+    out, words_ = Counter(), "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower()).split()
+    for w in words_:
+        out.update(w)
+        marked = f"_{w}_"
+        out.update(marked[i : i + 2] for i in range(len(marked) - 1))
+        out.update(marked[i : i + 3] for i in range(len(marked) - 2))
+    return out
+
+
+def test_language_distances_against_brute_force(spark, monkeypatch):
+    """Ranks, distances and choices as plain Python gives them, in letters of several scripts; in one pass and in several."""
+    rng = random.Random(2)
+    scripts = {"en": "etaoin shrdlu", "ru": "оеаинт сорвл", "el": "αοιετσν ηυρπ", "fr": "éàeasit nruôl", "zh": "的一是不了人 我在有他"}
+    make = lambda lang, n: "".join(rng.choices(scripts[lang], k=n))
+    rows = [(i, make(lang, rng.randint(5, 200)), lang, "s", 0) for i, lang in enumerate(list(scripts) * 12)]
+    rows += [(100 + i, t, "en", "s", 0) for i, t in enumerate(["ß—“quoted” it’s", "12 34", None, "", "é" * 3, "e\u0301a", "same", "same"])]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    number = langid._letters()
+    code = lambda g: sum((1 if c == "_" else int(number[ord(c)])) << (18 * k) for k, c in enumerate(reversed(g)))
+    ranked = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:40]
+    from collections import Counter
+
+    profiles = {}
+    for lang in scripts:
+        total = Counter()
+        for r in rows:
+            if r[2] == lang:
+                total.update(plain_grams(r[1]))
+        profiles[lang] = {g: i for i, g in enumerate(ranked(total))}
+    want = {}
+    for doc, text, *_ in rows:
+        mine = ranked(plain_grams(text))
+        dist = {x: sum(min(abs(p[g] - i), 40) if g in p else 40 for i, g in enumerate(mine)) for x, p in profiles.items()}
+        best = min(sorted(dist), key=dist.get)
+        want[doc] = (best, 1 - dist[best] / (40 * len(mine))) if mine else ("und", 0.0)
+    for languages in (2000, 2):
+        monkeypatch.setattr(langid, "LANGUAGES", languages)
+        model = langid.learn_profiles(df, size=40)
+        got = {r.doc_id: (r.lang_pred, r.lang_score) for r in langid.predict_language(df, model, size=40).collect()}
+        assert got.keys() == want.keys()
+        for doc, (lang, score) in want.items():
+            assert got[doc][0] == lang and abs(got[doc][1] - score) < 1e-9, doc
+
+
+def test_language_of_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.learn_profiles(docs.filter(~held))
+    got = langid.predict_language(docs.filter(held), model).collect()
+    assert len(got) > 250 and np.mean([r.lang_pred == r.lang for r in got]) > 0.98
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
