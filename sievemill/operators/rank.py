@@ -41,6 +41,10 @@ IMPL_WORDS = "implemented|generation|bundle|logic|validation|handler|router|serv
 IMPL_WORDS_FUSE = IMPL_WORDS + "|wired|scoring|delivery|isolation"
 DOC_WORDS = "documented|explain the architecture|docs|documentation"
 CALLER_WORDS = r"(?i)(^|[^a-z0-9_])(what calls|who calls|callers|used by|what breaks if)($|[^a-z0-9_])"
+# Points of rules without a weight of their own.
+POINTS = {"dependencyCaller": 30, "symbolInQuery": 5, "packageInit": -5, "scriptsBesideCore": -5, "wiring": 8, "internalWiring": 5, "definitionForCallers": -15, "fileHoldsQueryWord": 5}
+# Fixed values of the cut of one file's rows: room for rows, rows that stay, final score that makes more room, authority that keeps more.
+COLLAPSE = {"conceptual": (2, 2), "other": (4, 3), "finalBeyond": 15.0, "authorityBeyond": 10}
 DEFINITION_KINDS = "function_definition|function_declaration|method|class_definition|class_declaration|struct|interface|type|enum|trait|impl"
 OWN_PHRASES = ["func {}", "func ({}", "type {} struct", "type {} interface", "def {}", "class {}", "function {}", "const {}", "fn {}"]
 TARGET_PHRASES = ["def {}", "class {}", "func {}", "type {} struct", "type {} interface", "function {}", "const {}", "fn {}", "struct {}", "enum {}", "trait {}"]
@@ -91,10 +95,10 @@ def rules(query: Column, query_type: Column, kind: Column) -> list[tuple[Column,
         ((relation == "definition") & (source == "symbol"), w["symbolDefinition"], "symbol definition"),
         (defined, w["trueDefinition"], "true definition"),
         ((source == "graph") & relation.isin("caller", "callee"), w["graphRelation"], "graph relation"),
-        ((source == "graph") & (relation == "caller") & (query_type == "DEPENDENCY"), 30, "dependency graph caller"),
+        ((source == "graph") & (relation == "caller") & (query_type == "DEPENDENCY"), POINTS["dependencyCaller"], "dependency graph caller"),
         (kind == "source", w["sameLanguageImpl"], "source file"),
         ((query_type == "TEST") & (kind == "test"), w["testWhenAsked"], "test when asked"),
-        (F.col("symbol").isNotNull() & low.contains(F.lower("symbol")), 5, "symbol in query"),
+        (F.col("symbol").isNotNull() & low.contains(F.lower("symbol")), POINTS["symbolInQuery"], "symbol in query"),
         (kind == "generated", w["generated"], "generated"),
         (lf.rlike(STALE), w["staleDoc"], "stale"),
         (wants_impl & (kind == "doc"), w["docWhenImplAsked"], "doc when impl wanted"),
@@ -102,28 +106,33 @@ def rules(query: Column, query_type: Column, kind: Column) -> list[tuple[Column,
         ((query_type != "TEST") & (kind == "test"), w["testWhenImplAsked"], "test when impl wanted"),
         ((query_type == "TEST") & (kind == "source"), w["sourceWhenTestAsked"], "source when test asked"),
         ((query_type == "SYMBOL") & (flat(target) != "") & flat(file).contains(flat(target)), w["symbolInFilePath"], "symbol in file path"),
-        (file.endswith("__init__.py"), -5, "__init__ re-export"),
-        ((kind == "source") & file.contains("/scripts/") & F.col("_has_source"), -5, "scripts when core exists"),
+        (file.endswith("__init__.py"), POINTS["packageInit"], "__init__ re-export"),
+        ((kind == "source") & file.contains("/scripts/") & F.col("_has_source"), POINTS["scriptsBesideCore"], "scripts when core exists"),
         (caller, w["callerReference"], "caller reference"),
-        (caller & (text.rlike("add_command|register|newrouter|healthhandler") | text.contains(F.concat(target, F.lit(".")))), 8, "wiring pattern"),
-        (caller & (kind == "source") & file.contains("/internal/"), 5, "internal wiring"),
-        (asks_callers & (relation == "definition") & (source == "symbol") & defined, -15, "definition for caller query"),
+        (caller & (text.rlike("add_command|register|newrouter|healthhandler") | text.contains(F.concat(target, F.lit(".")))), POINTS["wiring"], "wiring pattern"),
+        (caller & (kind == "source") & file.contains("/internal/"), POINTS["internalWiring"], "internal wiring"),
+        (asks_callers & (relation == "definition") & (source == "symbol") & defined, POINTS["definitionForCallers"], "definition for caller query"),
         ((query_type == "CONCEPTUAL") & (source == "semantic"), w["conceptualSemantic"], "conceptual semantic"),
-        ((query_type == "CONCEPTUAL") & (source == "semantic") & F.exists(words, lambda t: lf.contains(t)), 5, "file contains query word"),
+        ((query_type == "CONCEPTUAL") & (source == "semantic") & F.exists(words, lambda t: lf.contains(t)), POINTS["fileHoldsQueryWord"], "file contains query word"),
     ]
 
 
 def apply_authority(evidence: DataFrame, query: Column | str, query_type: Column | None = None, group: list[str] | None = None) -> DataFrame:
     """``evidence`` with authority_score, final_score (20 * score + authority) and reasons.
 
-    ``group`` names the columns of a question when rows of many questions are scored at once; the two windows then run per
-    question (and file), else over one question's rows, which retrieval limits bound.
+    ``group`` names the columns of a question when rows of many questions are scored at once. Whether a question has source files is one
+    aggregate, joined back (one row, broadcast, for a single question); the window runs per question and file.
     """
     q = F.lit(query) if isinstance(query, str) else query
     kind = C.classify_path("file")
     group = group or []
-    every = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    base = evidence.withColumn("_has_source", F.max(kind == "source").over(every)).withColumn("_type", C.classify_query(q) if query_type is None else query_type)
+    if group:
+        seen = evidence.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.max(kind == "source").alias("_has_source"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
+        base = evidence.join(seen, same).drop(*[f"_g{i}" for i in range(len(group))])
+    else:
+        base = evidence.crossJoin(F.broadcast(evidence.agg(F.max(kind == "source").alias("_has_source"))))
+    base = base.withColumn("_type", C.classify_query(q) if query_type is None else query_type)
     fired = [(F.coalesce(when, F.lit(False)), points, why) for when, points, why in rules(q, F.col("_type"), kind)]
     score = reduce(lambda a, b: a + b, [F.when(when, F.lit(points)).otherwise(0) for when, points, _ in fired])
     reasons = F.array_compact(F.array(*[F.when(when, F.lit(f"{points:+d} {why}")) for when, points, why in fired]))
@@ -145,7 +154,7 @@ def apply_authority(evidence: DataFrame, query: Column | str, query_type: Column
 def _collapse(query_type: str):
     """The greedy cut of one file's rows: depends on what is kept already, so it is a fold over a bounded group."""
     strict = query_type == "CONCEPTUAL"
-    room, keep = (2, 2) if strict else (4, 3)
+    room, keep = COLLAPSE["conceptual" if strict else "other"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["final_score", "_key"], ascending=[False, True], kind="stable").to_dict("records")
@@ -161,10 +170,10 @@ def _collapse(query_type: str):
                 rescued = row["relation"] == "definition" and row["source"] == "symbol" and not any(k["relation"] == "definition" for k in kept)
                 accept = rescued or len(kept) < 2
             else:
-                accept = len(kept) < room or (not strict and row["final_score"] > 15.0)
+                accept = len(kept) < room or (not strict and row["final_score"] > COLLAPSE["finalBeyond"])
             if accept:
                 kept.append(row)
-        final = [k for i, k in enumerate(kept) if i < keep or (not strict and k["authority_score"] > 10)]
+        final = [k for i, k in enumerate(kept) if i < keep or (not strict and k["authority_score"] > COLLAPSE["authorityBeyond"])]
         return pd.DataFrame(final, columns=pdf.columns)
 
     return run
