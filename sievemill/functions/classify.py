@@ -83,6 +83,35 @@ def detect_language(path: Column | str) -> Column:
     return F.coalesce(table[extension(path)], F.lit("unknown"))
 
 
+# Extensions of the project summary, of the compressor and of the architecture scan.
+SUMMARY_LANGUAGES = {
+    "py": "Python", "js": "JavaScript", "ts": "TypeScript", "jsx": "React/JavaScript", "tsx": "React/TypeScript", "md": "Markdown",
+    "json": "JSON", "yaml": "YAML", "yml": "YAML", "toml": "TOML", "html": "HTML", "css": "CSS", "scss": "SCSS", "less": "Less",
+    "sql": "SQL", "sh": "Shell", "bat": "Batch", "dockerfile": "Docker",
+}
+COMPRESS_LANGUAGES = {
+    "py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "typescript", "java": "java", "c": "c",
+    "cpp": "cpp", "h": "c", "hpp": "cpp", "cs": "csharp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "swift": "swift",
+    "kt": "kotlin", "scala": "scala", "m": "objective-c", "sh": "bash", "sql": "sql", "html": "html", "css": "css", "scss": "scss",
+    "sass": "sass", "less": "less", "vue": "vue", "svelte": "svelte", "xml": "xml", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "toml": "toml", "ini": "ini", "cfg": "ini", "csv": "csv", "md": "markdown", "txt": "text", "gitignore": "gitignore",
+}
+ARCHITECTURE_LANGUAGES = {
+    "py": "Python", "pyw": "Python", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "java": "Java",
+    "kt": "Kotlin", "kts": "Kotlin", "go": "Go", "rs": "Rust", "cs": "C#", "cpp": "C++", "cc": "C++", "cxx": "C++", "hpp": "C++",
+    "hh": "C++", "hxx": "C++", "c": "C", "h": "C", "swift": "Swift", "rb": "Ruby", "php": "PHP", "scala": "Scala", "sh": "Shell",
+    "bash": "Shell", "sql": "SQL", "html": "HTML", "htm": "HTML", "css": "CSS", "scss": "CSS", "sass": "CSS",
+}
+
+
+def language_by(path: Column | str, table: dict[str, str], other: str | None = "Unknown") -> Column:
+    """A language by one of the extension maps; names that only have a leading dot (``.gitignore``) go by what follows it where the map has it."""
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    bare = F.lower(F.regexp_extract(basename(path), r"^\.([^.]+)$", 1))
+    dotted = F.when(bare == "gitignore", known[bare])
+    return F.coalesce(known[extension(path)], dotted, F.lit(other))
+
+
 def normalise_path(path: Column | str) -> Column:
     """Forward slashes, no leading ``./``; null for empty, absolute and escaping paths."""
     p = F.regexp_replace(F.replace(_col(path), F.lit("\\"), F.lit("/")), r"^(\./)+", "")

@@ -107,41 +107,47 @@ def high_entropy(token: Column | str) -> Column:
     return (F.length(bare) >= 20) & (entropy(bare) >= 3.5)
 
 
-#: Redaction chain, fixed patterns in the order they are applied; the key stage guards itself on the whole text.
+# The redaction chain, patterns and replacements of each stage in the order they are applied.
 KEYS = [
-    (r"(?<![A-Za-z0-9_])(API_KEY)\s*=\s*[\"']sk-[A-Za-z0-9_-]{20,}[\"']", "$1 = [REDACTED_KEY]"),
-    (r"=\"sk-[A-Za-z0-9_-]{20,}\"", "=\"[REDACTED_KEY]\""),
-    (r"='sk-[A-Za-z0-9_-]{20,}'", "='[REDACTED_KEY]'"),
-    (r"=\s*sk-[A-Za-z0-9_-]{20,}(?=\s|$)", "=[REDACTED_KEY]"),
-    (r"(?<![A-Za-z0-9_])sk-[A-Za-z0-9_-]{20,}", "[REDACTED_KEY]"),
+    (r'="(sk-[A-Za-z0-9_-]{20,})"', '="[REDACTED_KEY]"'),
+    (r"='(sk-[A-Za-z0-9_-]{20,})'", "'[REDACTED_KEY]'"),
+    (r"^\s*(sk-[A-Za-z0-9_-]{20,})\s*$", "[REDACTED_KEY]"),
+    (r':\s*"(sk-[A-Za-z0-9_-]{20,})"', ': "[REDACTED_KEY]"'),
+    (r":\s*'(sk-[A-Za-z0-9_-]{20,})'", ": '[REDACTED_KEY]'"),
+    (r"=\s*(sk-[A-Za-z0-9_-]{20,})(?=\s|$)", "=[REDACTED_KEY]"),
+    (r"(?<![A-Za-z0-9_])(sk-[A-Za-z0-9_-]{20,})(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])", "[REDACTED_KEY]"),
+    (r'(?<![A-Za-z0-9_])(API_KEY)\s*=\s*"\[REDACTED_KEY\]"', "$1 = [REDACTED_KEY]"),
+    (r"(?<![A-Za-z0-9_])(API_KEY)\s*=\s*'\[REDACTED_KEY\]'", "$1 = [REDACTED_KEY]"),
+    (r'=\s*"?\[REDACTED_KEY\]"?\s*$', " = [REDACTED_KEY]"),
+    (r"=\s*'?\[REDACTED_KEY\]'?\s*$", " = [REDACTED_KEY]"),
 ]
 CLOUD = [
     (r"(?i)(AWS_ACCESS_KEY_ID|AWS_SECRET_ACCESS_KEY)\s*([=:])\s*[\"']?(AKIA[0-9A-Z]{16}|[A-Za-z0-9+/]{40})[\"']?", "$1 $2 [REDACTED_AWS]"),
-    (r"AKIA[0-9A-Z]{16}", "[REDACTED_AWS]"),
+    (r"([\"']?)(AKIA[0-9A-Z]{16})([\"']?)", "$1[REDACTED_AWS]$3"),
 ]
 BEARER = [
-    (r"(?i)Authorization:\s*Bearer\s+[A-Za-z0-9_.-]{20,}", "Bearer [REDACTED]"),
-    (r"(?i)bearer:\s*[\"']?[A-Za-z0-9_.-]{20,}[\"']?", "Bearer [REDACTED]"),
-    (r"(?i)Bearer\s+[A-Za-z0-9_.-]{20,}", "Bearer [REDACTED]"),
-    (r"(?i)(?<![A-Za-z0-9_])bearer[_\s-]*[A-Za-z0-9_.-]{20,}", "Bearer [REDACTED]"),
-    (r"(?i)(?<![A-Za-z0-9_])bearer[a-z0-9_]{10,}(?![A-Za-z0-9_])", "Bearer [REDACTED]"),
+    (r"(?i)Authorization:\s*Bearer\s+([A-Za-z0-9_.-]{20,})", "Bearer [REDACTED]"),
+    (r"(?i)bearer:\s*[\"']?([A-Za-z0-9_.-]{20,})[\"']?", "Bearer [REDACTED]"),
+    (r"(?i)Bearer\s+([A-Za-z0-9_.-]{20,})", "Bearer [REDACTED]"),
+    (r"(?i)(?<![A-Za-z0-9_])bearer[_\s-]*([A-Za-z0-9_.-]{20,})(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])", "Bearer [REDACTED]"),
+    (r"(?i)(?<![A-Za-z0-9_])(bearer[a-z0-9_]{10,})(?![A-Za-z0-9_])", "Bearer [REDACTED]"),
 ]
 PASSWORDS = [
     (r"(?i)(password|passwd|pwd|pass|secret|private_key|privatekey)\s*([=:])\s*[\"']?([^\"'\s]{6,})[\"']?", "$1 $2 [REDACTED]"),
+    (r"(?i)(DB_PASSWORD|DATABASE_PASSWORD|USER_PASSWORD|ADMIN_PASSWORD)\s*([=:])\s*[\"']?([^\"'\s]{6,})[\"']?", "$1 $2 [REDACTED]"),
     (r"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]*(?:password|passwd|pwd|pass|secret)[A-Za-z0-9_]*\s+[A-Za-z0-9_]{8,}(?![A-Za-z0-9_])", "password = [REDACTED]"),
 ]
 TOKENS = [
-    (r"(?i)(?:jwt|token|auth_token|access_token|refresh_token|session_token)\s*[=:]\s*[\"']?[A-Za-z0-9_.-]{20,}[\"']?", "token=[REDACTED]"),
-    (r"(?i)[\"']([a-zA-Z_]*token[a-zA-Z_]*)[\"']:\s*[\"'][A-Za-z0-9_.-]{20,}[\"']", "\"$1\": \"[REDACTED]\""),
-    (r"(?i)(?<![A-Za-z0-9_])(?:jwt|token)[_\s-]*[A-Za-z0-9_.-]{20,}", "token=[REDACTED]"),
-]
-VARIABLES = [(r"\$\{?[A-Z_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|KEY|WEBHOOK|DB|DATABASE)[A-Z_]*\}?", "[REDACTED]")]
-NAMED = [
-    (r"(?i)(JWT_SECRET|SECRET_KEY|API_SECRET|AUTH_SECRET)\s*([=:])\s*[\"']?([^\"'\s]{10,})[\"']?", "$1 $2 [REDACTED]"),
-    (r"(?i)(DATABASE_URL|MONGODB_URI|REDIS_URL)\s*([=:])\s*[\"']?([^\"'\s]{10,})[\"']?", "$1 $2 [REDACTED]"),
+    (r"(?i)(jwt|token|auth_token|access_token|refresh_token|session_token)\s*[=:]\s*[\"']?([A-Za-z0-9_.-]{20,})[\"']?", "token=[REDACTED]"),
+    (r"(?i)[\"']([a-zA-Z_]*token[a-zA-Z_]*|auth_token|access_token)[\"']:\s*[\"']([A-Za-z0-9_.-]{20,})[\"']", "\"$1\": \"[REDACTED]\""),
+    (r"(?i)(?<![A-Za-z0-9_])(?:jwt|token)[_\s-]*([A-Za-z0-9_.-]{20,})(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])", "token=[REDACTED]"),
 ]
+VARIABLES = [(r"\$\{?([A-Z_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|KEY|WEBHOOK|DB|DATABASE)[A-Z_]*)\}?", "[REDACTED]")]
+NAMED = [(r"(?i)(JWT_SECRET|SECRET_KEY|API_SECRET|AUTH_SECRET)\s*([=:])\s*[\"']?([^\"'\s]{10,})[\"']?", "$1 $2 [REDACTED]")]
+#: Only where the text holds no [REDACTED_KEY].
 API_KEY = (r"(?i)(API_KEY)\s*([=:])\s*[\"']?([^\"'\s]{20,})[\"']?", "$1 $2 [REDACTED]")
-#: Long hex that is not of a digest's length.
+URLS = [(r"(?i)(DATABASE_URL|MONGODB_URI|REDIS_URL)\s*([=:])\s*[\"']?([^\"'\s]{10,})[\"']?", "$1 $2 [REDACTED]")]
+#: Long hex that is not of a digest's length; masked where its entropy is high.
 LONG_HEX = r"(?<![A-Za-z0-9_])(?:[a-fA-F0-9]{41,63}|[a-fA-F0-9]{65,})(?![A-Za-z0-9_])"
 
 
@@ -151,9 +157,9 @@ def replace_all(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def redact_secrets(text: Column | str) -> Column:
     """The ordered chain: keys, cloud keys, bearer, passwords, tokens, variables, named secrets, long high-entropy hex."""
-    t = replace_all(F.coalesce(_col(text), F.lit("")), KEYS + CLOUD + BEARER + PASSWORDS + TOKENS + VARIABLES + NAMED[:1])
+    t = replace_all(F.coalesce(_col(text), F.lit("")), KEYS + CLOUD + BEARER + PASSWORDS + TOKENS + VARIABLES + NAMED)
     t = F.when(F.instr(t, "[REDACTED_KEY]") > 0, t).otherwise(F.regexp_replace(t, *API_KEY))
-    t = replace_all(t, NAMED[1:])
+    t = replace_all(t, URLS)
     found = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(LONG_HEX), 0)), high_entropy)
     return F.aggregate(found, t, lambda acc, x: F.replace(acc, x, F.lit("[REDACTED]")))
 
@@ -185,9 +191,23 @@ def unique_lines(text: str) -> str:
 def deduplicate_lines(text: Column | str) -> Column:
     """The first line of each stripped content; runs of blank lines to one, counted after the drop.
 
-    Whether a line is new depends on all before it, so this is a pass over each text by Arrow batches, linear in its length.
+    Built-in functions only. Sorted by content and place, a line is the first of its content where its neighbour before differs; back in
+    the order of places, a blank line stays where the one that stays before it is not blank. Neighbours meet by ``zip_with``, never by a
+    look into an array from inside a lambda, so the work is that of two sorts.
     """
-    return F.pandas_udf(lambda s: s.map(unique_lines), "string")(F.coalesce(_col(text), F.lit("")))
+    lines = F.split(F.coalesce(_col(text), F.lit("")), "\n")
+    bare = lambda x: F.regexp_replace(x, r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
+    placed = F.transform(lines, lambda x, i: F.struct(bare(x).alias("b"), i.alias("i"), x.alias("x")))
+
+    def by_neighbour(rows: Column, stays) -> Column:
+        before = F.concat(F.array(F.lit(None)), rows)
+        return F.filter(F.zip_with(rows, before, lambda s, p: F.when(stays(s, p), s)), lambda s: s.isNotNull())
+
+    heads = by_neighbour(F.array_sort(F.filter(placed, lambda s: s["b"] != "")), lambda s, p: p.isNull() | (p["b"] != s["b"]))
+    kept = F.concat(heads, F.filter(placed, lambda s: s["b"] == ""))
+    ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["b"].alias("b"), s["x"].alias("x"))))
+    some = by_neighbour(ordered, lambda s, p: (s["b"] != "") | p.isNull() | (p["b"] != ""))
+    return F.array_join(F.transform(some, lambda s: F.when(s["b"] == "", "").otherwise(s["x"])), "\n")
 
 
 def sanitise_note(note: Column | str, limit: int = 2000) -> Column:

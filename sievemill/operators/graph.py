@@ -15,6 +15,13 @@ def symbol_definitions(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.filter((F.col("name") == name) | (F.col("qualified_name") == name)).orderBy("file", "start_line")
 
 
+def symbol_by_id(symbols: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """Symbols of the given ids: a few as literals, or a table ``(id)`` by a join."""
+    if isinstance(ids, DataFrame):
+        return symbols.join(ids.select("id").distinct(), "id", "left_semi")
+    return symbols.filter(F.col("id").isin(list(ids)))
+
+
 def symbol_prefix(symbols: DataFrame, prefix: str, limit: int = 100) -> DataFrame:
     """Case-insensitive LIKE in which the prefix's own wildcards stay wildcards."""
     like = prefix + "%"
@@ -75,9 +82,13 @@ def related_tests(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
 TEST_NAMES = ["test_{}.py", "{}_test.py", "{}_test.go", "{}.spec.ts", "{}.test.ts", "{}.test.js", "{}_test.rs"]
 
 
+def snake(name: str) -> str:
+    """``functions.text.snake_case`` of one name on the driver."""
+    return "".join(("_" if c.isupper() and i else "") + c.lower() for i, c in enumerate(name))
+
+
 def test_files(files: DataFrame, symbol: str) -> DataFrame:
-    snake = "".join(("_" if c.isupper() and i else "") + c.lower() for i, c in enumerate(symbol))
-    names = sorted({n.format(v) for n in TEST_NAMES for v in (symbol.lower(), snake)})
+    names = sorted({n.format(v) for n in TEST_NAMES for v in (symbol.lower(), snake(symbol))})
     return files.filter(F.lower(basename("path")).isin(names)).orderBy("path")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import io
 import re
+import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -270,6 +272,48 @@ def digest(files: DataFrame) -> DataFrame:
     return totals.crossJoin(kinds).crossJoin(languages).crossJoin(top)
 
 
+def export_digest(files: DataFrame, summaries: DataFrame, chunks: DataFrame, project: str, now: Column, patterns: list[str] | None = None, per_pattern: int = 10) -> DataFrame:
+    """One row ``json``: metadata, statistics, ``summaries(path, summary)`` and key chunks, ``per_pattern`` of ``chunks(path, start_char, text)`` for each pattern in their paths.
+
+    Summaries come in path order; the digest of a project is one document, read and written whole.
+    """
+    picked = None
+    for i, p in enumerate(patterns or ["readme", "main", "config", "api"]):
+        some = chunks.filter(F.lower("path").contains(p)).orderBy("path", "start_char").limit(per_pattern).select(F.lit(i).alias("p"), "path", "start_char", "text")
+        picked = some if picked is None else picked.unionByName(some)
+    once = picked.groupBy("path", "start_char").agg(F.min("p").alias("p"), F.first("text").alias("text"))
+    keys = once.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "path", "start_char", "text"))), lambda c: F.struct(c["path"].alias("path"), c["start_char"].alias("start_char"), c["text"].alias("text"))).alias("key_chunks"))
+    files_ = summaries.agg(F.array_sort(F.collect_list(F.struct("path", "summary"))).alias("file_summaries"))
+    meta = F.struct(F.lit(project).alias("project_name"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss").alias("export_timestamp")).alias("metadata")
+    row = digest(files).crossJoin(files_).crossJoin(keys)
+    statistics = F.struct("files", "bytes", "kinds", "languages", "largest").alias("statistics")
+    return row.select(F.to_json(F.struct(meta, statistics, "file_summaries", "key_chunks")).alias("json"))
+
+
+def list_digests(spark, folder: str) -> DataFrame:
+    """The digests below ``folder``, JSON or ZIP (``digest.json`` inside), newest first: path, project, exported, size, summaries, chunks, format.
+
+    Files that can't be read as digests are left out.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*digest*.{json,zip}").option("recursiveFileLookup", "true").load(folder)
+
+    def unpacked(batches):
+        for pdf in batches:
+            texts = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    texts.append(zipfile.ZipFile(io.BytesIO(content)).read("digest.json").decode() if path.endswith(".zip") else bytes(content).decode())
+                except (zipfile.BadZipFile, KeyError, UnicodeDecodeError):
+                    texts.append(None)
+            yield pdf[["path", "length"]].assign(text=texts)
+
+    parts = "metadata struct<project_name: string, export_timestamp: string>, file_summaries array<struct<path: string>>, key_chunks array<struct<path: string>>"
+    d = raw.mapInPandas(unpacked, "path string, length long, text string").withColumn("d", F.from_json("text", parts)).filter("d.metadata is not null")
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    out = d.select("path", F.col("d.metadata.project_name").alias("project"), F.col("d.metadata.export_timestamp").alias("exported"), F.col("length").alias("size"), count(F.col("d.file_summaries")).alias("summaries"), count(F.col("d.key_chunks")).alias("chunks"), F.when(F.col("path").endswith(".zip"), "zip").otherwise("json").alias("format"))
+    return out.orderBy(F.desc("exported"), "path")
+
+
 CHECKLIST = {"README": r"(?i)(^|/)readme(\.[a-z]+)?$", "Architecture": r"(?i)(^|/)(architecture|adr|design)[^/]*(\.md|/)", "API": r"(?i)(^|/)(api|apis|openapi)[^/]*\.(md|ya?ml|json)$", "Changelog": r"(?i)(^|/)(changelog|history)[^/]*$", "License": r"(?i)(^|/)licen[sc]e[^/]*$"}
 
 
@@ -316,11 +360,57 @@ def session_events(log: DataFrame) -> DataFrame:
 
 
 def session_summary(events: DataFrame) -> DataFrame:
-    """Verb counts and the last five details of each session."""
+    """Verb counts and the last five details of each session. Tasks count and cut to five before rows are shuffled (window group limit)."""
+    counts = events.groupBy("session").agg(*[F.count_if(F.col("verb") == v).alias(v.lower()) for v in VERBS])
     rank = F.row_number().over(W.partitionBy("session").orderBy(F.desc("at"), F.desc("detail")))
-    ranked = events.withColumn("r", rank)
-    last = F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "detail"))))
-    return ranked.groupBy("session").agg(*[F.count_if(F.col("verb") == v).alias(v.lower()) for v in VERBS], last["detail"].alias("last"))
+    last = events.select("session", "at", "detail").withColumn("r", rank).filter("r <= 5").groupBy("session").agg(F.array_sort(F.collect_list(F.struct("r", "detail")))["detail"].alias("last"))
+    return counts.join(last, "session")
+
+
+# --- sessions and settings: small state tables ------------------------------------------------------------------------------
+
+SESSIONS = "session_id string, name string, description string, created timestamp, updated timestamp, completed timestamp, scope array<string>, status string"
+
+
+def start_session(sessions: DataFrame, session_id: str, now: Column, name: str | None = None, description: str = "") -> DataFrame:
+    """``sessions`` with a new active row; the one that was active is completed."""
+    named = F.lit(name) if name else F.concat(F.lit("session_"), F.date_format(now, "yyyy-MM-dd"), F.lit(f"_{session_id}"))
+    none = F.lit(None).cast("timestamp")
+    row = sessions.sparkSession.range(1).select(F.lit(session_id).alias("session_id"), named.alias("name"), F.lit(description).alias("description"), now.alias("created"), now.alias("updated"), none.alias("completed"), F.array().cast("array<string>").alias("scope"), F.lit("active").alias("status"))
+    return stop_session(sessions, now).unionByName(row)
+
+
+def stop_session(sessions: DataFrame, now: Column) -> DataFrame:
+    """The active session completed; without one nothing changes."""
+    on = F.col("status") == "active"
+    return sessions.withColumns({"completed": F.when(on, now).otherwise(F.col("completed")), "updated": F.when(on, now).otherwise(F.col("updated")), "status": F.when(on, "completed").otherwise(F.col("status"))})
+
+
+def set_scope(sessions: DataFrame, paths: list[str], now: Column, *, append: bool = False) -> DataFrame:
+    """Paths of the active session: set, or added to what there is, each once and in order."""
+    given = F.array(*[F.lit(p) for p in paths]).cast("array<string>")
+    scope = F.array_sort(F.array_distinct(F.array_union("scope", given) if append else given))
+    on = F.col("status") == "active"
+    return sessions.withColumns({"scope": F.when(on, scope).otherwise(F.col("scope")), "updated": F.when(on, now).otherwise(F.col("updated"))})
+
+
+def list_sessions(sessions: DataFrame) -> DataFrame:
+    return sessions.orderBy(F.desc("created"), "session_id")
+
+
+def put_settings(settings: DataFrame, more: DataFrame) -> DataFrame:
+    """``(key, value)`` tables of configuration, tasks or state: rows of ``more`` replace those of their key."""
+    return settings.join(more.select("key").distinct(), "key", "left_anti").unionByName(more)
+
+
+def note_line(text: str, now: Column) -> Column:
+    """A note as it is appended: time, then the sanitised text on one line."""
+    return F.concat(F.lit("["), F.date_format(now, "yyyy-MM-dd HH:mm:ss"), F.lit("] "), T.sanitise_note(F.regexp_replace(F.lit(text), "[\\r\\n]+", " ")))
+
+
+def append_note(spark, path: str, text: str, now: Column | None = None) -> None:
+    """Adds a line to the notes below ``path``."""
+    spark.range(1).select(note_line(text, F.current_timestamp() if now is None else now).alias("value")).coalesce(1).write.mode("append").text(path)
 
 
 def session_payload(chunks: DataFrame, injected: DataFrame, scope: list[str], query: str | None = None, limit: int = 50) -> DataFrame:

@@ -117,16 +117,19 @@ def rules(query: Column, query_type: Column, kind: Column) -> list[tuple[Column,
     ]
 
 
-def apply_authority(evidence: DataFrame, query: Column | str, query_type: Column | None = None, group: list[str] | None = None) -> DataFrame:
+def apply_authority(evidence: DataFrame, query: Column | str, query_type: Column | None = None, group: list[str] | None = None, *, bounded: bool = False) -> DataFrame:
     """``evidence`` with authority_score, final_score (20 * score + authority) and reasons.
 
     ``group`` names the columns of a question when rows of many questions are scored at once. Whether a question has source files is one
-    aggregate, joined back (one row, broadcast, for a single question); the window runs per question and file.
+    aggregate, joined back (one row, broadcast, for a single question); the window runs per question and file. ``bounded`` evidence, that of
+    one question's retrievers and their limits, is made once and looked at by a window instead.
     """
     q = F.lit(query) if isinstance(query, str) else query
     kind = C.classify_path("file")
     group = group or []
-    if group:
+    if bounded and not group:
+        base = evidence.withColumn("_has_source", F.max(kind == "source").over(W.partitionBy(F.lit(0))))
+    elif group:
         seen = evidence.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.max(kind == "source").alias("_has_source"))
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
         base = evidence.join(seen, same).drop(*[f"_g{i}" for i in range(len(group))])
@@ -181,7 +184,7 @@ def _collapse(query_type: str):
 
 def fuse(evidence: DataFrame, query: str, query_type: str, top_n: int = 10) -> DataFrame:
     """Ranked evidence: authority, duplicates, per-file collapse, two documents at most where code is asked for, a definition survives."""
-    scored = apply_authority(evidence, query, F.lit(query_type))
+    scored = apply_authority(evidence, query, F.lit(query_type), bounded=True)
     norm = F.lower(F.regexp_replace(F.replace("file", F.lit("\\"), F.lit("/")), r"^(\./)+", ""))
     key = F.concat_ws(":", norm, F.coalesce("symbol", F.lit("")), F.coalesce("start_line", F.lit(0)).cast("string"), F.coalesce("end_line", F.lit(0)).cast("string"), F.initcap("source"))
     best = [F.desc("final_score"), F.desc_nulls_last("score"), F.asc("file")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import classify as C
+from ..functions import registry
 from ..functions import text as T
 from ..operators import graph, lexical, rank, vectors
 
 #: Defaults, fixed values.
 BUDGET, MAX_RESULTS = 10_000, 10
+#: Query vectors that are kept, the least recently used one going first; fixed value.
+QUERY_VECTORS = 128
 TAKE_CALLERS, TAKE_CALLEES, TAKE_DEFINITIONS, TAKE_CHUNKS = 50, 20, 5, 25
 
 
@@ -50,7 +54,7 @@ def make_plan(spark: SparkSession, query: str) -> Plan:
         p.graph = [(i, d) for i in first for d in (["callers", "callees"] if "callees" in query.lower() or "what does" in query.lower() else ["callers"])]
     elif p.query_type == "TEST":
         p.semantic, p.tests = [query], p.identifiers[:2]
-        p.exact = [("filename", n.format(v)) for i in p.tests for v in dict.fromkeys((i.lower(), _snake(i))) for n in graph.TEST_NAMES[:5]]
+        p.exact = [("filename", n.format(v)) for i in p.tests for v in dict.fromkeys((i.lower(), graph.snake(i))) for n in graph.TEST_NAMES[:5]]
     elif p.query_type == "CONCEPTUAL":
         p.semantic = [query]
     else:
@@ -59,10 +63,6 @@ def make_plan(spark: SparkSession, query: str) -> Plan:
     return p
 
 
-def _snake(s: str) -> str:
-    return "".join(("_" if c.isupper() and i else "") + c.lower() for i, c in enumerate(s))
-
-
 def direction(text: str | None) -> str:
     """Anything that is not callees means callers."""
     return "callees" if (text or "").strip().lower() in ("callees", "callee") else "callers"
@@ -70,16 +70,27 @@ def direction(text: str | None) -> str:
 
 @dataclass
 class Index:
-    """The tables a search reads: files(path, content), symbols, edges, chunks, and optionally vectors with an embedder."""
+    """The tables a search reads: files(path, content), symbols, edges, chunks, postings of the chunks, and optionally vectors with an embedder."""
 
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
     chunks: DataFrame
     vectors: DataFrame | None = None
+    bm25: lexical.Bm25 | None = None
+    embedder: str = "hash"
+    _known: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     def embed(self, text: str) -> list[float]:
-        return list(self.files.sparkSession.range(1).select(T.hash_embedding(F.lit(text)).alias("v")).first().v)
+        """The question's vector by the named embedder; the last ``QUERY_VECTORS`` are kept."""
+        key = (self.embedder, text)
+        if key not in self._known:
+            rows = self.files.sparkSession.createDataFrame([(text,)], "t string")
+            self._known[key] = list(rows.select(registry.EMBEDDERS[self.embedder](F.col("t")).alias("v")).first().v)
+        self._known.move_to_end(key)
+        while len(self._known) > QUERY_VECTORS:
+            self._known.popitem(last=False)
+        return self._known[key]
 
 
 _COLUMNS = [c.split()[0] for c in rank.SCHEMA.split(", ")]
@@ -139,10 +150,14 @@ def semantic_weight() -> float:
     return w if 0 < w <= 10 else 2.0
 
 
+def _chunk_texts(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", F.concat_ws(" ", "text", "file", "qualified_name").alias("text"))
+
+
 def _fused(ix: Index, query: str, query_type: str) -> DataFrame:
     """BM25 and vectors over chunks, fused by reciprocal rank."""
-    texts = ix.chunks.select("chunk_id", F.concat_ws(" ", "text", "file", "qualified_name").alias("text"))
-    bm25 = lexical.bm25_search(texts, query, TAKE_CHUNKS, key="chunk_id").withColumn("retriever", F.lit("bm25"))
+    found = lexical.search_bm25(ix.bm25, query, TAKE_CHUNKS) if ix.bm25 else lexical.bm25_search(_chunk_texts(ix.chunks), query, TAKE_CHUNKS, key="chunk_id")
+    bm25 = found.withColumn("retriever", F.lit("bm25"))
     ranked = bm25
     if ix.vectors is not None:
         near = vectors.knn(ix.vectors, ix.embed(query), TAKE_CHUNKS, key="chunk_id").withColumn("retriever", F.lit("semantic"))
@@ -166,7 +181,13 @@ def retrieve(ix: Index, p: Plan) -> DataFrame:
         level = rank.sufficiency(cheap, p.query_type).first().sufficiency
         if level == "STRONG" or (level == "ADEQUATE" and p.query_type != "TEST"):
             return cheap
-    return cheap.unionByName(_fused(ix, p.query, p.query_type))
+    return reduce(DataFrame.unionByName, [_plugged(ix, name, p.query) for name in registry.RETRIEVERS], cheap.unionByName(_fused(ix, p.query, p.query_type)))
+
+
+def _plugged(ix: Index, name: str, query: str) -> DataFrame:
+    """Evidence of a registered retriever: ``(rank, file, score)`` of the index's files."""
+    hits = registry.RETRIEVERS[name](ix.files, query, TAKE_CHUNKS)
+    return _evidence(hits, source=name, file="$file", start_line=1, end_line=1, score="$score", relation="reference", provenance=f"plugin:{name}")
 
 
 def search(ix: Index, query: str, *, budget: int = BUDGET, max_results: int = MAX_RESULTS) -> DataFrame:
@@ -206,12 +227,31 @@ def status(ix: Index) -> DataFrame:
     return status_report(**given, **({"vectors": ix.vectors} if ix.vectors is not None else {}))
 
 
-def build_index(files: DataFrame, *, embed: bool = True) -> Index:
-    """Index tables of ``files(path, language, content)``; write them with ``Generations`` to use them more than once."""
+TABLES = ("files", "symbols", "edges", "chunks", "vectors")
+
+
+def store_index(ix: Index, path: str) -> Index:
+    """Writes every table and the postings below ``path``, and returns the index over what was written: questions then parse and tokenize nothing."""
+    for name in TABLES:
+        if (table := getattr(ix, name)) is not None:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+    stored = load_index(ix.files.sparkSession, path, vectors=ix.vectors is not None, bm25=False)
+    stored.embedder = ix.embedder
+    stored.bm25 = lexical.store_bm25(lexical.build_bm25(_chunk_texts(stored.chunks), key="chunk_id"), f"{path}/bm25")
+    return stored
+
+
+def load_index(spark: SparkSession, path: str, *, vectors: bool = True, bm25: bool = True) -> Index:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(read("files"), read("symbols"), read("edges"), read("chunks"), read("vectors") if vectors else None, lexical.load_bm25(spark, f"{path}/bm25", "chunk_id") if bm25 else None)
+
+
+def build_index(files: DataFrame, *, embed: bool = True, embedder: str = "hash") -> Index:
+    """Index tables of ``files(path, language, content)`` as plans; ``store_index`` writes them to be used more than once."""
     from ..sources import extract
 
     parsed = extract.parse_files(files)
     t = extract.tables(parsed)
     chunks = extract.chunks(t["symbols"], files)
-    vecs = chunks.select("chunk_id", T.hash_embedding("text").alias("embedding")) if embed else None
-    return Index(files, t["symbols"], graph.resolve_edges(t["refs"], t["symbols"]), chunks, vecs)
+    vecs = chunks.select("chunk_id", registry.EMBEDDERS[embedder](F.col("text")).alias("embedding")) if embed else None
+    return Index(files, t["symbols"], graph.resolve_edges(t["refs"], t["symbols"]), chunks, vecs, embedder=embedder)

@@ -69,9 +69,9 @@ def _python(file: str, text: str):
             if isinstance(child, ast.Call) and (name := name_of(child.func)):
                 refs.append((name, child.lineno, owner, "call"))
                 if any(v in name.lower() for v in WIRING):
-                    for arg in [*child.args, *(k.value for k in child.keywords)]:
+                    for arg in child.args:
                         if isinstance(arg, (ast.Name, ast.Attribute)) and (n := name_of(arg)):
-                            refs.append((n, arg.lineno, owner, "reference"))
+                            refs.append((n, arg.lineno, owner, "call"))
             elif isinstance(child, ast.Import):
                 imports.extend((a.name, a.asname, child.lineno, False) for a in child.names)
             elif isinstance(child, ast.ImportFrom):
@@ -83,8 +83,8 @@ def _python(file: str, text: str):
     return symbols, refs, imports
 
 
-#: Callee names that wire one thing to another, fixed values: their arguments count as references.
-WIRING = ("add", "register", "route", "handle", "use", "mount", "bind", "connect", "subscribe", "include", "attach", "command")
+# Parts of callee names that wire one thing to another; names among their positional arguments count as called.
+WIRING = ("command", "register", "invoke", "include", "router", "add", "mount", "handler", "dispatch", "bind", "plug", "use")
 
 _JS = r"(?P<export>export\s+)?(?:default\s+)?"
 PATTERNS = {

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,35 +14,131 @@ from ..functions import classify as C
 MAX_BYTES = 10 << 20
 
 
-def scan(spark: SparkSession, root: str, *, glob: str | None = None, ignored: str | None = None, content: bool = True) -> DataFrame:
+#: Files that name what to leave out, in the order in which later ones count.
+IGNORE_FILES = (".gitignore", ".ignore", ".opencodeignore")
+
+
+def ignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
+    """``(regular expression over relative paths, ignored)`` of each line of an ignore file in ``folder``, later ones counting more.
+
+    ``*`` and ``?`` stay within a name, ``**`` crosses folders, a slash that is not the last character ties a pattern to the folder, a last one to
+    folders, ``!`` takes back, ``#`` starts a comment and a backslash takes the next character as it is.
+    """
+    rules, base = [], f"{folder}/" if folder else ""
+    for line in text.split("\n"):
+        line = re.sub(r"(?<!\\)[ \t\r]+$", "", line)
+        if not line or line.startswith("#"):
+            continue
+        keep = line.startswith("!")
+        line = line[1:] if keep else line
+        only_folders, line = line.endswith("/"), line.rstrip("/")
+        tied = "/" in line
+        line = line.lstrip("/")
+        out, i = "", 0
+        while i < len(line):
+            c = line[i]
+            if line.startswith("**/", i):
+                out, i = out + "(?:[^/]+/)*", i + 3
+            elif line.startswith("**", i):
+                out, i = out + ".*", i + 2
+            elif c == "[" and (end := line.find("]", i + 2)) > 0:
+                inner = line[i + 1 : end].replace("\\", "\\\\")
+                out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", end + 1
+            else:
+                if c == "\\" and i + 1 < len(line):
+                    i, c = i + 1, re.escape(line[i + 1])
+                    out += c
+                else:
+                    out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
+                i += 1
+        head = re.escape(base) + ("" if tied else "(?:.*/)?")
+        rules.append((f"^{head}{out}{'/.*' if only_folders else '(?:/.*)?'}$", not keep))
+    return rules
+
+
+def is_ignored(path: Column | str, rules: list[tuple[str, bool]]) -> Column:
+    """The last rule that matches decides; none ignores nothing."""
+    p, out = F.col(path) if isinstance(path, str) else path, F.lit(False)
+    for rx, ignored in rules:
+        out = F.when(p.rlike(rx), F.lit(ignored)).otherwise(out)
+    return out
+
+
+def _relative(root: str) -> Column:
+    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
+    return F.regexp_replace(F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.length(base) + 2, F.lit(1 << 20)), "^/+", "")
+
+
+def read_ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """The rules of all ignore files below ``root``, those of deeper folders later. They are a project's few small files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(IGNORE_FILES) + "}").load(root)
+    rows = found.filter(~C.is_excluded(_relative(root))).select(_relative(root).alias("rel"), decode("content").alias("text")).collect()
+    rows.sort(key=lambda r: (r.rel.count("/"), IGNORE_FILES.index(r.rel.rsplit("/", 1)[-1]), r.rel))
+    return [rule for r in rows for rule in ignore_rules(r.text, r.rel.rpartition("/")[0])]
+
+
+def _linked(path: Column, root: str) -> Column:
+    """Whether a file, or a folder between ``root`` and it, is a symbolic link (of a local file system, or one that is mounted as such)."""
+
+    @F.pandas_udf("boolean")
+    def look_all(paths: pd.Series) -> pd.Series:
+        known: dict[str, bool] = {}
+
+        def look(at: str) -> bool:
+            if len(at) <= len(root) or not at.startswith(root):
+                return False
+            if at not in known:
+                known[at] = os.path.islink(at) or look(os.path.dirname(at))
+            return known[at]
+
+        return paths.map(look).astype(bool)
+
+    return look_all(path)
+
+
+def scan(spark: SparkSession, root: str, *, glob: str | None = None, ignored: str | None = None, content: bool = True, ignore_files: bool = False) -> DataFrame:
     """``(path, kind, language, size_bytes, mtime, content, content_hash)`` of the files below ``root`` worth indexing.
 
-    Engine folders, generated files and paths that match the regular expression ``ignored`` are left out before contents are
-    read; contents and hashes are taken of searchable files up to 10 MB. Distributed by Spark's binary file source.
+    Engine folders, generated files, symbolic links, paths that match the regular expression ``ignored`` and, with ``ignore_files``,
+    those that the tree's ignore files name are left out before contents are
+    read; contents and hashes are taken of searchable files up to 10 MB without a zero byte at their start. Distributed by Spark's binary file source;
+    ``ordered`` puts the result in path order.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
-    rel = F.regexp_replace(F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.length(base) + 2, F.lit(1 << 20)), "^/+", "")
     kind = C.classify_path("rel")
-    out = raw.withColumn("rel", rel).filter(~C.is_excluded("rel"))
+    out = raw.withColumn("rel", _relative(root)).filter(~C.is_excluded("rel"))
     if ignored:
         out = out.filter(~F.col("rel").rlike(ignored))
+    if ignore_files:
+        out = out.filter(~is_ignored("rel", read_ignore_rules(spark, root)))
     out = out.withColumn("kind", kind).filter("kind != 'generated'")
+    if re.match("^(file:/|/)", root):
+        out = out.filter(~_linked(F.regexp_replace("path", "^file:/*", "/"), re.sub("^file:/*", "/", root.rstrip("/"))))
     readable = C.is_searchable("rel", F.col("kind")) & (F.col("length") <= MAX_BYTES)
     cols = [F.col("rel").alias("path"), F.col("kind"), C.detect_language("rel").alias("language"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")]
     if content:
-        cols += [F.when(readable, decode("content")).alias("content"), F.when(readable, F.sha2("content", 256)).alias("content_hash")]
+        text = readable & (is_text("content") | _wide("content"))
+        cols += [F.when(text, decode("content")).alias("content"), F.when(readable, F.sha2("content", 256)).alias("content_hash")]
     return out.select(*cols)
 
 
+def ordered(files: DataFrame) -> DataFrame:
+    return files.orderBy("path")
+
+
+def _wide(content: Column | str) -> Column:
+    """A byte-order mark of UTF-16, whose texts hold zero bytes."""
+    b = F.col(content) if isinstance(content, str) else content
+    return F.hex(F.substring(b, 1, 2)).isin("FFFE", "FEFF")
+
+
 def decode(content: Column | str) -> Column:
     """Bytes to text: UTF-8, by byte-order mark UTF-16, else Latin-1 (which accepts all bytes)."""
     b = F.col(content) if isinstance(content, str) else content
-    wide = F.hex(F.substring(b, 1, 2)).isin("FFFE", "FEFF")
-    return F.when(wide, F.decode(b, "UTF-16")).when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(F.decode(b, "ISO-8859-1"))
+    return F.when(_wide(b), F.decode(b, "UTF-16")).when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(F.decode(b, "ISO-8859-1"))
 
 
 def is_text(content: Column | str) -> Column:

@@ -37,6 +37,17 @@ def coalesced(events: DataFrame, window: str = "120 milliseconds", lateness: str
     return marked.groupBy(F.window("ts", window).alias("w"), "root", "path").agg(last.alias("e"), F.max("ts").alias("ts"), F.count("*").alias("events")).select("root", "path", F.col("w.end").alias("due"), "ts", "e.kind", "e.is_dir", "events")
 
 
+def bounded(changes: DataFrame, capacity: int = 512) -> DataFrame:
+    """``coalesced`` changes of one micro-batch (or table): where a root has more than ``capacity`` paths due at once, one row of kind ``rescan``.
+
+    The queue that would have held the paths is full then, and only a full look finds them all.
+    """
+    n = changes.groupBy("root", "due").agg(F.count("*").alias("_n"), F.max("ts").alias("_last"), F.sum("events").alias("_all"))
+    full = n.filter(F.col("_n") > capacity)
+    rescan = full.select("root", F.lit(None).cast("string").alias("path"), "due", F.col("_last").alias("ts"), F.lit("rescan").alias("kind"), F.lit(False).alias("is_dir"), F.col("_all").alias("events"))
+    return changes.join(full.select("root", "due"), ["root", "due"], "left_anti").select(*rescan.columns).unionByName(rescan)
+
+
 STATE = "mode string, paths string, epoch long"
 DIRTY = "root string, mode string, paths array<string>, epoch long"
 
@@ -129,11 +140,11 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None, c
     return query
 
 
-def maintain(publish: Callable[[dict[str, DataFrame]], int], read: Callable[[str], DataFrame], parse: Callable[[DataFrame], dict[str, DataFrame]], full_share: float = 0.5) -> Callable[[DataFrame, int], None]:
+def maintain(publish: Callable[[dict[str, DataFrame], int], int], read: Callable[[str], DataFrame], parse: Callable[[DataFrame], dict[str, DataFrame]], full_share: float = 0.5) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that keeps file-keyed tables current: ``batch(path, language, content)``, null content deletes.
 
     Unchanged hashes are skipped before parsing. When more than ``full_share`` of the files change, edges are rebuilt, else only those
-    of changed files and affected names.
+    of changed files and affected names. ``publish`` gets the batch's number, so that a batch which runs again after a failure is published once.
     """
     from ..operators import graph
     from ..sources.sinks import upsert_by_file
@@ -154,7 +165,7 @@ def maintain(publish: Callable[[dict[str, DataFrame]], int], read: Callable[[str
         else:
             names = graph.affected_names(read("symbols").join(changed, "file", "left_semi"), new["symbols"])
             tables["edges"] = graph.maintain_edges(read("edges"), tables["refs"], tables["symbols"], changed, names)
-        publish(tables)
+        publish(tables, number)
         fresh.unpersist()
 
     return sink
