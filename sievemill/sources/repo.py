@@ -70,11 +70,28 @@ def _relative(root: str) -> Column:
 
 
 def read_ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
-    """The rules of all ignore files below ``root``, those of deeper folders later. They are a project's few small files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(IGNORE_FILES) + "}").load(root)
-    rows = found.filter(~C.is_excluded(_relative(root))).select(_relative(root).alias("rel"), decode("content").alias("text")).collect()
-    rows.sort(key=lambda r: (r.rel.count("/"), IGNORE_FILES.index(r.rel.rsplit("/", 1)[-1]), r.rel))
-    return [rule for r in rows for rule in ignore_rules(r.text, r.rel.rpartition("/")[0])]
+    """The rules of the ignore files in the folders that hold any listed file, and above them; those of deeper folders later.
+
+    Spark's own listing leaves out names with a leading dot, so these few small files are opened one by one.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    folder = F.regexp_replace(_relative(root), "/?[^/]*$", "")
+    seen = {""}
+    for row in files.select(folder.alias("d")).distinct().toLocalIterator():
+        parts = row.d.split("/") if row.d else []
+        seen |= {"/".join(parts[: i + 1]) for i in range(len(parts))}
+    jvm, conf, rules = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for d in sorted(seen, key=lambda d: (d.count("/") + bool(d), d)):
+        for name in IGNORE_FILES:
+            path = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (root.rstrip("/"), d, name) if x))
+            fs = path.getFileSystem(conf)
+            if fs.exists(path):
+                stream = fs.open(path)
+                try:
+                    rules += ignore_rules(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace"), d)
+                finally:
+                    stream.close()
+    return rules
 
 
 def _linked(path: Column, root: str) -> Column:
@@ -102,7 +119,7 @@ def scan(spark: SparkSession, root: str, *, glob: str | None = None, ignored: st
     Engine folders, generated files, symbolic links, paths that match the regular expression ``ignored`` and, with ``ignore_files``,
     those that the tree's ignore files name are left out before contents are
     read; contents and hashes are taken of searchable files up to 10 MB without a zero byte at their start. Distributed by Spark's binary file source;
-    ``ordered`` puts the result in path order.
+    ``ordered`` puts the result in path order. Names with a leading dot are beyond Spark's listing.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
