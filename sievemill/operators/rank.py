@@ -182,9 +182,12 @@ def _collapse(query_type: str):
     return run
 
 
-def fuse(evidence: DataFrame, query: str, query_type: str, top_n: int = 10) -> DataFrame:
-    """Ranked evidence: authority, duplicates, per-file collapse, two documents at most where code is asked for, a definition survives."""
-    scored = apply_authority(evidence, query, F.lit(query_type), bounded=True)
+def fuse(evidence: DataFrame, query: str, query_type: str, top_n: int = 10, *, bounded: bool = True) -> DataFrame:
+    """Ranked evidence: authority, duplicates, per-file collapse, two documents at most where code is asked for, a definition survives.
+
+    ``bounded`` evidence is that of one question's retrievers. Without it files are many, and only a file's own rows have to fit a task.
+    """
+    scored = apply_authority(evidence, query, F.lit(query_type), bounded=bounded)
     norm = F.lower(F.regexp_replace(F.replace("file", F.lit("\\"), F.lit("/")), r"^(\./)+", ""))
     key = F.concat_ws(":", norm, F.coalesce("symbol", F.lit("")), F.coalesce("start_line", F.lit(0)).cast("string"), F.coalesce("end_line", F.lit(0)).cast("string"), F.initcap("source"))
     best = [F.desc("final_score"), F.desc_nulls_last("score"), F.asc("file")]
@@ -201,8 +204,10 @@ def fuse(evidence: DataFrame, query: str, query_type: str, top_n: int = 10) -> D
     is_def = F.coalesce((F.col("relation") == "definition") & (F.col("source") == "symbol"), F.lit(False))
     spare = scored.withColumns({"_key": key, "_file": norm}).filter(is_def).orderBy(F.desc("final_score"), F.asc_nulls_first("score"), F.desc("file")).limit(1)
     top = kept.orderBy(F.desc("final_score"), "file", "_key").limit(top_n)
-    # the best definition takes the last place when none made it
-    flags = top.agg(F.coalesce(F.max(is_def), F.lit(False)).alias("_has"), F.count("*").alias("_rows"))
+    # the best definition, where there is one, takes the last place when none made it
+    given = spare.agg((F.count("*") > 0).alias("_given"))
+    flags = top.agg(F.coalesce(F.max(is_def), F.lit(False)).alias("_in"), F.count("*").alias("_rows")).crossJoin(F.broadcast(given))
+    flags = flags.select((F.col("_in") | ~F.col("_given")).alias("_has"), "_rows")
     ranked = top.withColumn("_place", F.row_number().over(order)).crossJoin(F.broadcast(flags))
     spare = spare.crossJoin(F.broadcast(flags)).filter("not _has").withColumn("_place", F.lit(0))
     out = ranked.filter(F.col("_has") | (F.col("_place") < top_n)).unionByName(spare.select(*ranked.columns))

@@ -204,3 +204,10 @@ def test_older_search_and_extension_maps(spark):
     got = [tuple(r) for r in paths.select(*[C.language_by("path", m, o) for m, o in ((C.SUMMARY_LANGUAGES, "Unknown"), (C.COMPRESS_LANGUAGES, None), (C.ARCHITECTURE_LANGUAGES, None))]).collect()]
     assert got == [("React/TypeScript", "typescript", "TypeScript"), ("Unknown", None, "Kotlin"), ("Unknown", "gitignore", None), ("Unknown", None, None), ("Unknown", "c", "C")]
     assert (len(C.SUMMARY_LANGUAGES), len(C.COMPRESS_LANGUAGES), len(set(C.ARCHITECTURE_LANGUAGES.values()))) == (18, 39, 18)
+
+
+def test_no_place_is_kept_for_a_definition_that_is_not_there(spark):
+    rows = [("bm25", f"src/{i}.py", 1, 2, None, None, "", 0.1 * i, "reference", None) for i in range(8)]
+    from sievemill.operators import rank
+
+    assert rank.fuse(spark.createDataFrame(rows, rank.SCHEMA), "how are sessions stored", "CONCEPTUAL", 5).count() == 5
