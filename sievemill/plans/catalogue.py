@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from ..functions import classify as C
 from ..functions import text as T
 from ..operators import graph, lexical, logs, metrics, prep, rank, vectors
+from ..sources import sinks
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +97,18 @@ _BATCH_TERMS = """SELECT DISTINCT item_id, unnest(list_filter(list_concat(w, lis
   FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS w FROM benchmark)"""
 
 
+@query("bm25_stored_topk", _bm25_sql(f"SELECT unnest({SEARCH_TERMS!r}) AS term", "") + "SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
+def _(t):
+    """The same question against postings that are stored first, below the shared folder."""
+    return lexical.search_bm25(stored_postings(t.spark, t.dir), SEARCH, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> lexical.Bm25:
+    """Postings of ``documents``, written to a folder of their own for the session."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return lexical.store_bm25(lexical.build_bm25(docs), f"{sinks.shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+
+
 @query("bm25_batch_queries", _bm25_sql(_BATCH_TERMS, "item_id,") + "SELECT * FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 5")
 def _(t):
     q = t.benchmark.select("item_id", F.col("text").alias("query"))
@@ -268,6 +282,12 @@ def _(t):
     return t.embeddings.select("vec_id", F.round(F.sqrt(T.dot("embedding", "embedding")), 6).alias("norm"))
 
 
+@query("l2_unit", "SELECT vec_id, round(embedding[1] / greatest(n, 1e-6), 6) AS first, round(embedding[len(embedding)] / greatest(n, 1e-6), 6) AS last FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)")
+def _(t):
+    v = t.embeddings.select("vec_id", T.l2_normalise("embedding").alias("v"))
+    return v.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+
+
 @query("vec_label_vote", f"WITH s AS (SELECT label, vec_id, {_DOT.format(a='embedding', b=_Q0)} AS s FROM embeddings WHERE vec_id <> 0), top AS (SELECT * FROM s ORDER BY round(s, 9) DESC, vec_id LIMIT 25) SELECT label, count(*) AS votes FROM top GROUP BY label")
 def _(t):
     best = vectors.knn(t.embeddings.filter("vec_id != 0"), _vector(t, 0))
@@ -341,6 +361,25 @@ def _(t):
     return rank.apply_authority(_as_evidence(t), "retry budget", F.lit("MIXED")).select("doc_id", "authority_score", "final_score")
 
 
+_FUSE = """
+WITH e AS (SELECT doc_id, source || '/' || CAST(doc_id // 50 AS VARCHAR) || '.py' AS file, CAST((doc_id % 50) * 10 AS INT) AS s, round(n_chars / 50000.0::DOUBLE, 6) AS score FROM documents),
+k AS (SELECT *, 20.0::DOUBLE * score + 10 AS final_score, lower(file) || '::' || CAST(s AS VARCHAR) || ':' || CAST(s + 1 AS VARCHAR) || ':Bm25' AS key FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY final_score DESC, key) AS n FROM k)
+SELECT file, s AS start_line, 10 AS authority_score, round(final_score, 6) AS final_score FROM r WHERE n <= 2 ORDER BY r.final_score DESC, file, key LIMIT 40"""
+
+
+@query("fuse_evidence", _FUSE)
+def _(t):
+    """All documents as evidence of one conceptual question: two rows of a file stay, forty in all."""
+    line = ((F.col("doc_id") % 50) * 10).cast("int")
+    no = F.lit(None).cast("string")
+    rows = t.documents.select(
+        F.lit("bm25").alias("source"), F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 50).cast("string"), F.lit(".py")).alias("file"), line.alias("start_line"), (line + 1).alias("end_line"), no.alias("symbol"), no.alias("symbol_kind"),
+        F.lit("").alias("text"), F.round(F.col("n_chars") / F.lit(50000.0), 6).alias("score"), F.lit("reference").alias("relation"), no.alias("provenance"),
+    )
+    return rank.fuse(rows, "how are sessions stored", "CONCEPTUAL", 40, bounded=False).select("file", "start_line", "authority_score", F.round("final_score", 6).alias("final_score"))
+
+
 @query("evidence_dedup", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
 def _(t):
     r = F.row_number().over(W.partitionBy("source", "lang").orderBy(F.desc("n_chars"), "doc_id"))
@@ -568,6 +607,33 @@ def _(t):
     return t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "signup").alias("signups"), F.count("*").alias("total"))
 
 
+_HIT = lambda kind: "regexp_matches(content, '(?i)" + "|".join(p.replace("'", "''") for p in logs.LINE_CLASSES[kind]) + "')"
+
+
+@query("log_line_counts", f"""
+WITH l AS (SELECT doc_id, line, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS content FROM ({_LINES}))
+SELECT doc_id AS source, CAST(max(line) AS BIGINT) AS last_line, {", ".join(f"count(*) FILTER ({_HIT(k)}) AS {k}_count" for k in logs.LINE_CLASSES)} FROM l WHERE content <> '' GROUP BY doc_id""")
+def _(t):
+    lines = logs.classify_lines(t.documents.select(F.col("doc_id").alias("source"), "text"))
+    return logs.summarise_lines(lines).select("source", F.col("last_line").cast("long").alias("last_line"), *[f"{k}_count" for k in logs.LINE_CLASSES])
+
+
+@query("session_verbs", """
+WITH e AS (SELECT user_id, strftime(ts, '%H:%M:%S') AS at, CAST(event_id AS VARCHAR) AS detail, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%H:%M:%S') DESC, CAST(event_id AS VARCHAR) DESC) AS r FROM events)
+SELECT user_id AS session, count(*) FILTER (t = 'click') AS edited, count(*) FILTER (t = 'signup') AS created, count(*) FILTER (t = 'error') AS deleted, count(*) FILTER (t = 'view') AS moved, count(*) FILTER (t = 'purchase') AS ran,
+  string_agg(detail, ',' ORDER BY r) FILTER (r <= 5) AS last FROM e GROUP BY user_id""")
+def _(t):
+    verb = F.create_map(*[F.lit(x) for kv in (("click", "Edited"), ("signup", "Created"), ("error", "Deleted"), ("view", "Moved"), ("purchase", "Ran")) for x in kv])
+    e = t.events.select(F.col("user_id").alias("session"), F.date_format("ts", "HH:mm:ss").alias("at"), verb[F.col("event_type")].alias("verb"), F.col("event_id").cast("string").alias("detail"))
+    return prep.session_summary(e).withColumn("last", F.array_join("last", ","))
+
+
+@query("project_digest", "SELECT (SELECT count(*) FROM pages) AS files, CAST((SELECT sum(strlen(html)) FROM pages) AS BIGINT) AS bytes, (SELECT string_agg(url, ',' ORDER BY url) FROM (SELECT url FROM pages ORDER BY strlen(html) DESC, url LIMIT 10)) AS largest")
+def _(t):
+    files = t.pages.select(F.col("url").alias("path"), F.col("html").alias("content"), F.octet_length("html").cast("long").alias("size_bytes"))
+    return prep.digest(files).select("files", "bytes", F.array_join("largest", ",").alias("largest"))
+
+
 @query("event_health_grade", "WITH s AS (SELECT user_id, 40 * max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) + 40 * max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) + 20 * (1 - max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)) AS score FROM events GROUP BY user_id) SELECT user_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s")
 def _(t):
     has = lambda k: F.max(F.when(F.col("event_type") == k, 1).otherwise(0))
