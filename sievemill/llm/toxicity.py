@@ -171,8 +171,11 @@ def group_entries(holds: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn_voters(row: np.ndarray, index: np.ndarray, density: np.ndarray, y: np.ndarray, common: np.ndarray) -> list[Voter]:
-    """Voters of features that occur far more often in toxic rows; grouped (see ``group_entries``)."""
+def learn_voters(row: np.ndarray, index: np.ndarray, density: np.ndarray, y: np.ndarray, common: np.ndarray, has: np.ndarray) -> list[Voter]:
+    """Voters of features that occur far more often in toxic rows; grouped (see ``group_entries``).
+
+    ``has[r, c]`` tells which rows hold which of the ``common`` features, from which contexts are taken.
+    """
     n, n1 = len(y), max(1, int(y.sum()))
     n0 = max(1, n - int(y.sum()))
     used, at = np.unique(index, return_inverse=True)
@@ -193,10 +196,6 @@ def learn_voters(row: np.ndarray, index: np.ndarray, density: np.ndarray, y: np.
         mine = nth[row[order[begin[g] : begin[g + 1]]]]
         holds[e, mine[mine >= 0]] = True
     of, kind = group_entries(holds), used[good] >> (BITS - 2)
-    has = np.zeros((n, len(common)), bool)
-    on = np.isin(index, common)
-    if len(common):
-        has[row[on], np.searchsorted(common, index[on])] = True
     width, voters = has.mean(0), []
     for g in range(int(of.max()) + 1):
         cover = has[toxic[holds[of == g].any(0)]].mean(0)
@@ -217,15 +216,13 @@ def _density(v: Voter, row: np.ndarray, index: np.ndarray, density: np.ndarray,
     return np.bincount(row[on], density[on], n)
 
 
-def cast_votes(voters: list[Voter], row: np.ndarray, index: np.ndarray, density: np.ndarray, n: int) -> np.ndarray:
+def cast_votes(voters: list[Voter], row: np.ndarray, index: np.ndarray, density: np.ndarray, common: np.ndarray, has: np.ndarray) -> np.ndarray:
     """1 (toxic), 0 (clean) or -1 (abstains) of each voter for each row."""
+    n = len(has)
     votes = np.full((n, len(voters)), -1, np.int8)
-    where: dict[int, np.ndarray] = {}
     for j, v in enumerate(voters):
-        if v.context not in where:
-            where[v.context] = row[index == v.context] if v.context != ANY else np.arange(n)
         dense = _density(v, row, index, density, n)
-        votes[where[v.context], j] = 0
+        votes[:, j] = 0 if v.context == ANY else np.where(has[:, np.searchsorted(common, v.context)], 0, -1)
         votes[dense > 0, j] = -1
         votes[dense >= v.least, j] = 1
     return votes
@@ -246,7 +243,12 @@ def fit_classifier(row, index, value, target: np.ndarray, n: int, *, rounds: int
     place = np.cumsum(on) - 1
     used, row, at, value = used[on], row[keep], place[at[keep]], value[keep]
     w, gw, gb = np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8
-    for _ in range(rounds if n else 0):
+    before = w
+    for i in range(rounds if n else 0):
+        if i % 50 == 49:
+            if np.abs(w - before).max(initial=0) < 1e-3:
+                break
+            before = w
         g = (sigmoid(bias + np.bincount(row, value * w[at], n)) - target) / n
         grad, g_bias = np.bincount(at, value * g[row], len(used)), g.sum()
         gw += grad * grad
@@ -276,12 +278,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col="text", id_col=
     told = counts.filter((surplus * surplus > CHI_SQUARE * share * (1 - share) * F.col("k")) & (F.abs(surplus) > 2)).select("f")
     common = np.sort(np.array([r.f for r in counts.filter(F.col("k") < 0.95 * n).orderBy(F.desc("k"), "f").limit(COMMON).collect()], np.int32))
     told = np.sort(np.array([r.f for r in told.collect()], np.int32))
-    features = np.union1d(told, common)
-    got = made.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(features)), "i binary, v binary, y double").collect()
-    index = [np.frombuffer(r.i, np.int32) for r in got]
-    indptr = np.concatenate([[0], np.cumsum([len(i) for i in index])]).astype(np.int64)
-    value = np.concatenate([*[np.frombuffer(r.v, np.float32) for r in got], np.empty(0, np.float32)])
-    return fit_from_features(indptr, np.concatenate([*index, np.empty(0, np.int32)]).astype(np.int64), value, np.array([r.y for r in got], float), common.astype(np.int64), told.astype(np.int64))
+    common = np.setdiff1d(common, told)
+    # of common features one bit for each row comes to the driver, of those that tell labels apart the densities
+    got = made.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast((told, common))), "i binary, v binary, c binary, y double").toArrow()
+    index = np.concatenate([*[np.frombuffer(x, np.int32) for x in got.column("i").to_pylist()], np.empty(0, np.int32)])
+    indptr = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got.column("i").to_pylist()])]).astype(np.int64)
+    value = np.concatenate([*[np.frombuffer(x, np.float32) for x in got.column("v").to_pylist()], np.empty(0, np.float32)])
+    bits = np.array([np.frombuffer(x, np.uint8) for x in got.column("c").to_pylist()], np.uint8).reshape(got.num_rows, -(-len(common) // 8))
+    has = np.unpackbits(bits, axis=1, count=len(common)).astype(bool) if len(common) else np.zeros((got.num_rows, 0), bool)
+    return fit_from_features(indptr, index.astype(np.int64), value, got.column("y").to_numpy().astype(float), common.astype(np.int64), has)
 
 
 def _features(batches):
@@ -298,29 +303,31 @@ def _features(batches):
 
 def _chosen(sent):
     def run(batches):
+        told, common = sent.value
         for batch in batches:
-            index, value = [], []
+            index, value, bits = [], [], []
             for x, v in zip(batch.column(0), batch.column(1), strict=True):
                 i = np.asarray(x.values.to_numpy(zero_copy_only=False) if len(x) else np.empty(0), np.int32)
-                on = np.isin(i, sent.value)
+                on = np.isin(i, told)
                 index.append(i[on].tobytes())
                 value.append(np.asarray(v.values.to_numpy(zero_copy_only=False) if len(v) else np.empty(0), np.float32)[on].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(index, pa.binary()), pa.array(value, pa.binary()), batch.column(2)], names=["i", "v", "y"])
+                bits.append(np.packbits(np.isin(common, i)).tobytes())
+            columns = [pa.array(c, pa.binary()) for c in (index, value, bits)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(2)], names=["i", "v", "c", "y"])
 
     return run
 
 
-def fit_from_features(indptr: np.ndarray, index: np.ndarray, density: np.ndarray, y: np.ndarray, common: np.ndarray, told: np.ndarray) -> ToxicityModel:
+def fit_from_features(indptr: np.ndarray, index: np.ndarray, density: np.ndarray, y: np.ndarray, common: np.ndarray, has: np.ndarray) -> ToxicityModel:
     n = len(y)
     if not n:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0, np.float32), -5.0)
     row = np.repeat(np.arange(n), np.diff(indptr))
-    voters = learn_voters(row, index, density, y, np.setdiff1d(common, told))
-    votes = cast_votes(voters, row, index, density, n)
+    voters = learn_voters(row, index, density, y, common, has)
+    votes = cast_votes(voters, row, index, density, common, has)
     label_model = fit_label_model(votes, float(y.mean()))
     target = label_model.posterior(votes) if voters else np.full(n, float(y.mean()))
-    on = np.isin(index, told)  # the classifier sees what the labels tell apart; common features are for contexts
-    row, column, value = design(row[on], index[on], density[on])
+    row, column, value = design(row, index, density)
     used, weights, bias = fit_classifier(row, column, value, target, n)
     # the bias is put where the classifier parts the labels of the fit rows best (by F-measure, precision weighing BETA), so that 0.5 is the decision
     table = np.zeros(2 << BITS)
