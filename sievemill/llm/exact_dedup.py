@@ -4,14 +4,13 @@
 2. Senders (tasks over the slim table) sort their distinct fingerprints, cut them by owner (their leading
    bits) and send each owner the gaps, Golomb-coded.
 3. Owners decode the lists they got and answer each with a bitmap: which of its entries occur elsewhere.
-4. Senders' rows behind set bits, or behind entries that they hold several rows of, are suspects. Only
+4. Bitmaps go back to the lists they answer, in blocks of files, and the addresses behind the lists stay where they were written.
+   Rows behind set bits, or behind entries that a sender holds several rows of, are suspects. Only
    suspects' texts are read again and shuffled; equal bytes, not equal fingerprints, make a group.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +21,8 @@ from .shared import ROW, SRC, Scratch, identified, set_aside, split_rows, withou
 
 #: Bits of a fingerprint beyond log2 of the rows: of N distinct texts, about N / 2**24 are suspected in vain.
 SPARE_BITS = 24
+#: Bytes of bitmaps that are broadcast at a time.
+BLOCK_BYTES = 64 << 20
 #: Fingerprints that an owner gathers, and rows that a sender sorts at a time.
 OWNER_ROWS, SENDER_ROWS = 1 << 21, 1 << 20
 
@@ -73,14 +74,14 @@ def _send(owners: int, width: int):
         distinct, many = fp[first], np.diff(first, append=len(fp))
         # fingerprints are below 2**width, so the product of their top bits and the owners stays in 64 bits
         own = ((distinct >> np.uint64(max(0, width - 32))) * np.uint64(owners) >> np.uint64(min(32, width))).astype(np.int64)
-        sender, out = uuid.uuid4().hex, []
+        out = []
         cuts = np.flatnonzero(np.diff(own, prepend=-1))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
             lo, hi = int(first[a]), int(first[b]) if b < len(first) else len(fp)
             k, code = golomb_encode(distinct[a:b])
-            out.append((sender, int(own[a]), b - a, k, code, many[a:b].astype(np.int32).tobytes(), src[lo:hi].tobytes(), row[lo:hi].tobytes()))
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["sender", "owner", "n", "k", "code", "many", "srcs", "rows"]
+            out.append((int(own[a]), b - a, k, code, many[a:b].astype(np.int32).tobytes(), src[lo:hi].tobytes(), row[lo:hi].tobytes()))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["owner", "n", "k", "code", "many", "srcs", "rows"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
@@ -104,7 +105,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     lists = [golomb_decode(n, k, code) for n, k, code in zip(pdf["n"], pdf["k"], pdf["code"], strict=True)]
     _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     twice = np.split(counts[inverse] > 1, np.cumsum([len(x) for x in lists])[:-1])
-    return pd.DataFrame({"sender": pdf["sender"], "owner": pdf["owner"], "bitmap": [np.packbits(t).tobytes() for t in twice]})
+    return pd.DataFrame({SRC: pdf[SRC], ROW: pdf[ROW], "bitmap": [np.packbits(t).tobytes() for t in twice]})
 
 
 def _suspects(batches):
@@ -137,16 +138,19 @@ def exact_groups(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", i
         "slim",
     )
     sent = scratch.put(
-        slim.select("fp", SRC, ROW).mapInArrow(_send(owners, width), "sender string, owner int, n int, k int, code binary, many binary, srcs binary, rows binary"),
+        slim.select("fp", SRC, ROW).mapInArrow(_send(owners, width), "owner int, n int, k int, code binary, many binary, srcs binary, rows binary"),
         "sent",
     )
-    bitmaps = sent.select("sender", "owner", "n", "k", "code").groupBy("owner").applyInPandas(_answer, "sender string, owner int, bitmap binary")
-    suspects = (
-        bitmaps.join(sent.select("sender", "owner", "n", "many", "srcs", "rows"), ["sender", "owner"])
-        .select("n", "bitmap", "many", "srcs", "rows")
-        .mapInArrow(_suspects, f"{SRC} long, {ROW} long")
-    )
-    suspects = scratch.put(suspects, "suspects")
+    sent = identified(sent, scratch)  # a list is named by where it was written, so its answer finds it without a move of the addresses
+    answers = sent.select(SRC, ROW, "owner", "n", "k", "code").groupBy("owner").applyInPandas(_answer, f"{SRC} long, {ROW} long, bitmap binary")
+    answers = scratch.put(answers, "answers")
+    blocks, behind = max(1, -(-(answers.agg(F.sum(F.octet_length("bitmap"))).first()[0] or 0) // BLOCK_BYTES)), None
+    for b in range(blocks):
+        mine = (lambda d: d) if blocks == 1 else (lambda d, b=b: d.filter(F.pmod(F.xxhash64(SRC), F.lit(blocks)) == b))
+        joined = mine(sent).join(F.broadcast(mine(answers)), [SRC, ROW]).select("n", "bitmap", "many", "srcs", "rows")
+        found = joined.mapInArrow(_suspects, f"{SRC} long, {ROW} long")
+        behind = found if behind is None else behind.unionByName(found)
+    suspects = scratch.put(behind, "suspects")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", SRC, ROW)
     texts, _ = split_rows(base_rows(docs, text_col, id_col), suspects, scratch, "suspect-bits")
     groups = (

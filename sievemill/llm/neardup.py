@@ -12,12 +12,12 @@ one, in blocks of a bucket's members. Verified links make classes by connected c
 
 from __future__ import annotations
 
+import hashlib
 from functools import cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,7 +212,7 @@ def _names(batches):
                 if a == b:
                     names.append(None)
                     continue
-                h = xxhash.xxh3_128(raw[int(spread[w.starts[a]]) : int(spread[w.ends[b - 1]])])
+                h = hashlib.blake2b(raw[int(spread[w.starts[a]]) : int(spread[w.ends[b - 1]])], digest_size=16)
                 h.update(lengths[a:b].tobytes())
                 names.append(h.digest())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.binary()), pa.array(sizes, pa.int64())], names=[*batch.schema.names[:-1], "node", "n_words"])

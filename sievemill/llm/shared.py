@@ -46,12 +46,23 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage, outlive executors and go when Python ends."""
+    """Tables written to the shared folder. They cut lineage and outlive executors. They go when Python ends, or when whoever wrote the result
+    says so (``drop_since``)."""
+
+    live: list[Scratch] = []  # noqa: RUF012  every one that still has tables
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/sievemill/{what}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
+        Scratch.live.append(self)
+
+    @classmethod
+    def drop_since(cls, mark: int) -> None:
+        """Drops what was opened after ``len(Scratch.live)`` was ``mark``: once a result is written, nothing reads its makers' tables."""
+        for s in cls.live[mark:]:
+            s.drop()
+        del cls.live[mark:]
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
