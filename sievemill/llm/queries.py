@@ -55,9 +55,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
+    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
     scored = quality.score_quality(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,6 +262,28 @@ def test_each_stage_keeps_and_drops_what_it_should(spark, tables):
     assert {"copy", "mix_key"} <= set(docs.columns) and after <= {i for i, k in kind.items() if k == "clean"}
 
 
+def test_stages_take_odd_rows_and_empty_tables(spark, tables, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, extra columns with the operators' own names."""
+    base, _ = tables
+    long = " ".join(f"w{i % 2999}" for i in range(60_000))
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (2, "", "en", None, 0), (None, "some text of words here now", None, "s", None), (None, None, None, None, None), (3, long, "en", "s", 5), (3, long, "en", "s", 5)]
+    odd = spark.createDataFrame(rows, DOCS)
+    for c in ("_sm_src", "_sm_row", "copy", "contamination", "toxic_score", "class_id", "node"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    odd.write.parquet(f"{tmp_path}/odd")
+    for frame in (odd, spark.read.parquet(f"{tmp_path}/odd")):
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, frame, base)
+            got = out.collect()
+            if i < 4:
+                assert out.columns == frame.columns, name
+                assert len(got) == {0: 7, 1: 3, 2: 6, 3: 7}[i], (name, len(got))
+                assert all(r.contamination == r._sm_src == "clash" for r in got)
+            else:
+                assert out.columns == [*(c for c in frame.columns if c != "copy"), "copy", "mix_key"]
+            assert stage(spark, frame.limit(0), base).count() == 0
+
+
 def test_run(spark, tables):
     base, kind = tables
     out = corpus_pipeline.run(spark, base)
