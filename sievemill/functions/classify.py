@@ -8,22 +8,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names, suffixes and word lists that results must agree on.
-BUILD_NAMES = "go.mod go.sum cargo.toml cargo.lock package.json package-lock.json dockerfile makefile procfile justfile brewfile gemfile rakefile".split()
+BUILD_NAMES = [
+    "go.mod", "go.sum", "cargo.toml", "cargo.lock", "package.json", "package-lock.json", "dockerfile", "makefile", "procfile", "justfile",
+    "brewfile", "gemfile", "rakefile",
+]
 TEST_DIRS = ["/tests/", "/test/", "/__tests__/"]
 TEST_ENDS = [".test.ts", ".test.js", ".test.tsx", ".test.jsx", ".spec.ts", ".spec.js", ".spec.tsx", ".spec.jsx"]
 GENERATED_ROOTS = ["dist", "build", "target", "node_modules"]
 GENERATED_INNER = ["/.next/", "/.nuxt/"]
-SOURCE_EXT = "py ts tsx js jsx go rs java kt c cc cpp h hpp cs rb php swift sql sh ps1".split()
-CONFIG_EXT = "json yaml yml toml ini env xml proto".split()
-DOC_EXT = "md markdown rst txt adoc".split()
-SEARCHABLE_EXT = SOURCE_EXT + "json yaml yml toml ini xml proto md txt rst".split()
+SOURCE_EXT = ["py", "ts", "tsx", "js", "jsx", "go", "rs", "java", "kt", "c", "cc", "cpp", "h", "hpp", "cs", "rb", "php", "swift", "sql", "sh", "ps1"]
+CONFIG_EXT = ["json", "yaml", "yml", "toml", "ini", "env", "xml", "proto"]
+DOC_EXT = ["md", "markdown", "rst", "txt", "adoc"]
+SEARCHABLE_EXT = SOURCE_EXT + ["json", "yaml", "yml", "toml", "ini", "xml", "proto", "md", "txt", "rst"]
 EXCLUDED_DIRS = [".git", ".context", ".opencode/index", "node_modules", "dist", "build", "target", "__pycache__", ".pytest_cache", ".next", ".nuxt", "coverage"]
 LANGUAGES = {"rs": "rust", "py": "python", "go": "go", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript"}
 QUERY_STOP = ["where", "what", "who", "how", "find", "where's", "when", "why", "which"]
 IDENT_STOP = QUERY_STOP + ["the", "is", "are", "for", "and", "or", "to", "in", "of", "a", "an"]
-EXTRACT_STOP = "where what who how which when why the is are for and or to in of a an find show please example file trace flow generation calls callers callees tests test cover covers implemented implementation".split()
-TARGET_STOP = "where what who how the is are for and or to in of a an calls callers callees tests test cover covers implemented implementation generation flow trace secret redaction".split()
-CONTEXT_STOP = "find where what how the for in of is are a an example file please show me".split()
+EXTRACT_STOP = [
+    "where", "what", "who", "how", "which", "when", "why", "the", "is", "are", "for", "and", "or", "to", "in", "of", "a", "an", "find", "show",
+    "please", "example", "file", "trace", "flow", "generation", "calls", "callers", "callees", "tests", "test", "cover", "covers", "implemented",
+    "implementation",
+]
+TARGET_STOP = [
+    "where", "what", "who", "how", "the", "is", "are", "for", "and", "or", "to", "in", "of", "a", "an", "calls", "callers", "callees", "tests",
+    "test", "cover", "covers", "implemented", "implementation", "generation", "flow", "trace", "secret", "redaction",
+]
+CONTEXT_STOP = ["find", "where", "what", "how", "the", "for", "in", "of", "is", "are", "a", "an", "example", "file", "please", "show", "me"]
 RE_TEST = r"(^|[^a-z0-9_])(tests? for|where is .* tested|what tests cover|test coverage|specs? for)($|[^a-z0-9_])"
 RE_DEPENDENCY = r"(^|[^a-z0-9_])(who calls|what calls|callers|callees|depends on|what breaks if|impact of|used by|transitive|calls?)($|[^a-z0-9_])"
 RE_DEFINITION = r"(^|[^a-z0-9_])(where is|where's|defined|definition|implementation|implemented|define)($|[^a-z0-9_])"

@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = get_spark()
     ix = open_index(spark, a)
     if a.verb == "index":
-        ix = planner.store_index(ix, a.index or f"{a.root.rstrip('/')}/.context/index")
+        ix = planner.store_index(ix, a.index or f"{a.root.rstrip('/')}/.sievemill/index")
     options = {"max_results": a.max_results}
     if a.verb in ("status", "index"):
         out = planner.status(ix)

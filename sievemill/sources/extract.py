@@ -99,7 +99,10 @@ IMPORTS = {
     "typescript": r"^\s*(?:import\s+(?:(?P<alias>[\w*{}, $]+)\s+from\s+)?|(?:const|let|var)\s+[\w{}, ]+\s*=\s*require\()['\"](?P<path>[^'\"]+)['\"]",
 }
 IMPORTS["javascript"] = IMPORTS["typescript"]
-KEYWORDS = set("if for while switch catch return function func fn new match loop sizeof typeof await super import require defer go select impl struct enum".split())
+KEYWORDS = set([
+    "if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "new", "match", "loop", "sizeof", "typeof", "await", "super",
+    "import", "require", "defer", "go", "select", "impl", "struct", "enum",
+])
 _NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`[^`]*`", re.S)
 
 
