@@ -158,10 +158,11 @@ def replace_all(text: Column, rules: list[tuple[str, str]]) -> Column:
 def redact_secrets(text: Column | str) -> Column:
     """The ordered chain: keys, cloud keys, bearer, passwords, tokens, variables, named secrets, long high-entropy hex."""
     t = replace_all(F.coalesce(_col(text), F.lit("")), KEYS + CLOUD + BEARER + PASSWORDS + TOKENS + VARIABLES + NAMED)
-    t = F.when(F.instr(t, "[REDACTED_KEY]") > 0, t).otherwise(F.regexp_replace(t, *API_KEY))
-    t = replace_all(t, URLS)
-    found = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(LONG_HEX), 0)), high_entropy)
-    return F.aggregate(found, t, lambda acc, x: F.replace(acc, x, F.lit("[REDACTED]")))
+    # a lambda's argument is made once, however often its body looks at it
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    t = once(t, lambda x: F.when(F.instr(x, "[REDACTED_KEY]") > 0, x).otherwise(F.regexp_replace(x, *API_KEY)))
+    long_hex = lambda x: F.filter(F.array_distinct(F.regexp_extract_all(x, F.lit(LONG_HEX), 0)), high_entropy)
+    return once(replace_all(t, URLS), lambda x: F.aggregate(long_hex(x), x, lambda acc, y: F.replace(acc, y, F.lit("[REDACTED]"))))
 
 
 def redact_patterns(text: Column | str, patterns: list[str]) -> Column:
